@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import exact_dedup, id_store, language_id, packing, sentence_pieces
+from emberlog.llm import exact_dedup, id_store, language_id, packing, sentence_pieces, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed_words(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op5_packing, op7_sentence_pieces, op8_language_id, op9_token_counts, op10_id_store)
+    f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op5_packing, op7_sentence_pieces, op8_language_id, op9_token_counts, op10_id_store)
 }
 
 ORACLE_SQL: dict[str, str] = {
