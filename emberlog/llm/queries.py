@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import exact_dedup, id_store, language_id, packing, sentence_pieces, substring_dedup
+from emberlog.llm import exact_dedup, id_store, language_id, packing, sentence_pieces, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_bytes(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op5_packing, op7_sentence_pieces, op8_language_id, op9_token_counts, op10_id_store)
+    f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_substring_dedup, op5_packing, op7_sentence_pieces, op8_language_id, op9_token_counts, op10_id_store)
 }
 
 ORACLE_SQL: dict[str, str] = {
