@@ -1,13 +1,14 @@
 """Distinct-chunk tables: texts are cut where no token can cross, each distinct chunk is tokenised once, results go back by position.
 
-A table belongs to one Python worker and one task. It grows with the chunks that the task meets and starts anew at TABLE_CHUNKS
-entries, so that a worker's memory is bounded whatever it reads.
+A table belongs to one Python worker. It grows with the chunks that the worker meets and starts anew at TABLE_CHUNKS entries, so that
+a worker's memory is bounded whatever it reads.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,11 @@ import pyarrow.compute as pc
 from emberlog.llm import frames
 
 #: Entries of a table before it starts anew.
-TABLE_CHUNKS = 300_000
+TABLE_CHUNKS = 600_000
 #: Bytes of text whose chunks are looked up together.
 GROUP_BYTES = 1 << 23
+#: Distinct words that go through a library as one text.
+JOINED = 1024
 
 
 def tokenizer_path(name: str) -> str:
@@ -51,22 +54,47 @@ def at_white_space(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (body == 0x20) | ((body >= 0x09) & (body <= 0x0D))
 
 
-def split(texts: pa.Array, cuts: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[pa.Array, np.ndarray]:
-    """All chunks of all texts, without the bytes at which they are cut, and the n + 1 offsets of each text's chunks."""
+def last_marks(body: np.ndarray, offsets: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Places of a single . , ; : ! or ? between an ASCII letter and a cut or a text's end; a chunk of its own begins there.
+
+    With only that mark behind it, no rule that looks at neighbours (composition, final sigma, contractions) can tell the difference.
+    """
+    if len(body) < 2:
+        return np.zeros(0, dtype=np.int64)
+    mark = np.flatnonzero(_MARKS[body[1:]]) + 1
+    ends = np.append(cut[1:], True)
+    ends[offsets[1:][offsets[1:] > 0] - 1] = True
+    mark = mark[ends[mark] & _LETTERS[body[mark - 1]]]
+    first = np.zeros(len(body) + 1, dtype=bool)
+    first[offsets[:-1]] = True
+    return mark[~first[mark]]
+
+
+_MARKS, _LETTERS = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_MARKS[list(b".,;:!?")] = True
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+
+
+def split(texts: pa.Array, cuts: Callable[[np.ndarray, np.ndarray], np.ndarray], marks: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """All chunks of all texts, without the bytes at which they are cut, and the n + 1 offsets of each text's chunks.
+
+    marks: the last mark of a word is a chunk of its own (see last_marks).
+    """
     body, offsets = frames.raw(texts)
     cut = cuts(body, offsets)
-    gone = np.zeros(len(body) + 1, dtype=np.int64)
+    gone = np.zeros(len(body) + 1, dtype=np.int32 if len(body) < 1 << 31 else np.int64)
     np.cumsum(cut, out=gone[1:])
     at = np.flatnonzero(cut)
+    extra = last_marks(body, offsets, cut) if marks else np.zeros(0, dtype=np.int64)
     # a chunk ends at each cut and at the end of each text
-    ends = np.concatenate([at, offsets[1:]])
+    ends = np.concatenate([at, extra, offsets[1:]])
     order = np.argsort(ends, kind="stable")  # a cut at the last byte of a text comes before the text's end
     chunk_ends = ends[order] - gone[ends[order]]
     bounds = np.zeros(len(ends) + 1, dtype=np.int32)
     bounds[1:] = chunk_ends
     chunks = pa.StringArray.from_buffers(len(ends), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(body[~cut])))
     per_text = np.zeros(len(offsets), dtype=np.int64)
-    np.cumsum(gone[offsets[1:]] - gone[offsets[:-1]] + 1, out=per_text[1:])
+    np.cumsum(gone[offsets[1:]] - gone[offsets[:-1]] + 1 + np.diff(np.searchsorted(extra, offsets)), out=per_text[1:])
     return chunks, per_text
 
 
@@ -108,6 +136,12 @@ def groups(batches: Iterator[pa.RecordBatch], limit: int = GROUP_BYTES) -> Itera
             yield rows.slice(start, stop - start)
 
 
+@lru_cache(maxsize=2)
+def word_ids(vocabulary: str) -> WordIds:
+    """One table a worker, which its tasks share."""
+    return WordIds(vocabulary)
+
+
 class WordIds:
     """Ids of the tokenizers library for texts whose vocabulary drops white space, so that no token crosses it."""
 
@@ -121,6 +155,27 @@ class WordIds:
         self.table = Table(self._encode)
 
     def _encode(self, chunks: list[str]) -> pa.Array:
+        """Ids of each chunk. Chunks of letters alone are one pre-token each: many go through the library as one text, parted by spaces."""
+        plain = [k for k, x in enumerate(chunks) if x.isalpha() or (len(x) == 1 and x in ".,;:!?")]
+        lists, at = [], []
+        for start in range(0, len(plain), JOINED):
+            part = plain[start : start + JOINED]
+            got = self.tokenizer.encode(" ".join([chunks[k] for k in part]), add_special_tokens=False)
+            words = np.array(got.word_ids, dtype=np.int64)
+            if len(words) and words[-1] + 1 == len(part):
+                bounds = np.zeros(len(part) + 1, dtype=np.int32)
+                np.cumsum(np.bincount(words, minlength=len(part)), out=bounds[1:])
+                lists.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(got.ids, pa.uint32())))
+            else:  # lower case took a letter apart
+                lists.append(self._each([chunks[k] for k in part]))
+            at += part
+        others = sorted(set(range(len(chunks))) - set(plain)) if len(plain) < len(chunks) else []
+        lists.append(self._each([chunks[k] for k in others]))
+        order = np.empty(len(chunks), dtype=np.int64)
+        order[np.array(at + others, dtype=np.int64)] = np.arange(len(chunks))
+        return pa.concat_arrays(lists).take(pa.array(order))
+
+    def _each(self, chunks: list[str]) -> pa.Array:
         bounds, ids = np.zeros(len(chunks) + 1, dtype=np.int32), []
         for start in range(0, len(chunks), 8192):
             for k, e in enumerate(self.tokenizer.encode_batch_fast(chunks[start : start + 8192], add_special_tokens=False), start + 1):
@@ -132,7 +187,7 @@ class WordIds:
 
     def __call__(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
         """All ids with the end id after each text, the n + 1 offsets, the chunks, their per-text offsets and the ids before each chunk's end."""
-        chunks, per_text = split(texts, at_white_space)
+        chunks, per_text = split(texts, at_white_space, marks=True)
         rows = self.table.codes(chunks)
         taken = self.table.values.take(pa.array(rows))
         flat = taken.flatten().to_numpy(zero_copy_only=False)

@@ -32,7 +32,7 @@ RING = 8
 #: A chunk ends where this many low bits of the rolling hash are clear, and after LONGEST ids at the latest.
 BITS, LONGEST = 8, 4096
 #: Digests that a task remembers as sent, before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 DOC = "doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary, fresh array<struct<digest:binary,data:binary>>"
 
@@ -74,7 +74,7 @@ def unpacked(data: bytes) -> np.ndarray:
 def _documents(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int) -> Iterator[pa.RecordBatch]:
     pair = pa.struct([("digest", pa.binary()), ("data", pa.binary())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("root", pa.binary()), ("fresh", pa.list_(pair))])
-    tokens, sent = chunks.WordIds(vocabulary), set()
+    tokens, sent = chunks.word_ids(vocabulary), set()
     for batch in chunks.groups(batches):
         ids, offsets, *_ = tokens(batch.column(1), end)
         ends = chunk_ends(ids, offsets)

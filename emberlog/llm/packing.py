@@ -149,7 +149,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, size:
 
     schema = pa.schema([(x, pa.int64()) for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "__row", "offset")] + [("__part", pa.int32())])
     part = TaskContext.get().partitionId()
-    tokens, packer = chunks.WordIds(vocabulary), Packer(size)
+    tokens, packer = chunks.word_ids(vocabulary), Packer(size)
 
     def out() -> Iterator[pa.RecordBatch]:
         if rows := packer.rows():
@@ -188,7 +188,7 @@ def sequences(df: DataFrame, pieces: DataFrame, vocabulary: str = "word_bpe_49k.
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = chunks.WordIds(vocabulary)
+        tokens = chunks.word_ids(vocabulary)
         for batch in chunks.groups(batches):
             ids, offsets, *_ = tokens(batch.column(1), end)
             yield frames.batch(schema, doc_id=batch.column(0), ids=pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int64))))

@@ -124,9 +124,9 @@ def token_counts(df: DataFrame, model: str = "piece_bpe_32k.model", limit: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model.endswith(".json"):
-            words = chunks.WordIds(model)
+            words = chunks.word_ids(model)
             table = chunks.Table(lambda x: pa.array(np.diff(np.asarray(words._encode(x).offsets)), pa.int32()))
-            cut = lambda texts: chunks.split(texts, chunks.at_white_space)
+            cut = lambda texts: chunks.split(texts, chunks.at_white_space, marks=True)
         else:
             sp = processor(model)
             table = chunks.Table(lambda x: pa.array([len(ids) for ids in encode_words(sp, x)], pa.int32()))

@@ -8,7 +8,7 @@ from emberlog.llm import chunks, sentence_pieces
 TEXTS = [
     None, "", " ", "   ", "a", " a", "a ", "a  b", "  two  spaces   three\n\nlines \t tabs\r\n end ", "▁", "a▁b ▁ c", "<s> </s> <unk>", "naïve café ﬁ Å",
     "日本語 テキスト 🎉🎉 x", "\x00\x01 nul", "a b　c d", "ΑΣ Σ ΟΔΟΣ. ΣΑ", "<|endoftext|> x<|startoftext|>y <|endof text|>", "don't we'll I'm 'S X'S",
-    "x" * 5000, "word " * 3000, "é ́ e ́", "\n", "\n\na", "a\n", "½ ² 123 4.5e6 --- ...", "tail   ",
+    "x" * 5000, "word " * 3000, "é ́ e ́", "\n", "\n\na", "a\n", "½ ² 123 4.5e6 --- ...", "tail   ", "a.Σ Σa. J̌. A. B, ΑΣ.Α ΑΣ. x.y. z.. end.", "İstanbul İ ǅ ŉ a", "a.", ".", "?", "b!\n",
 ]
 
 
