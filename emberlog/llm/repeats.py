@@ -17,15 +17,16 @@ from emberlog.llm.words import mix
 
 ROWS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
 DDL = "key long, doc_id long, at int, n int"
-#: n of a known row is its number of windows plus this.
-KNOWN = 1 << 20
 
 
 class Rows:
-    """Buffers (key, doc_id, at, n) of a task and gives them out with what is known locally."""
+    """Buffers (key, doc_id, at, n) of a task and gives them out with what is known locally: n is negative in known rows.
 
-    def __init__(self, limit: int = 4_000_000):
-        self.limit, self.held, self.size = limit, [], 0
+    merge: known rows whose windows follow one another become one.
+    """
+
+    def __init__(self, merge: bool = False, limit: int = 4_000_000):
+        self.merge, self.limit, self.held, self.size = merge, limit, [], 0
 
     def add(self, key: np.ndarray, doc_id: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
         self.held.append((key.view(np.int64), doc_id, at.astype(np.int32), n.astype(np.int32)))
@@ -42,20 +43,30 @@ class Rows:
         first[1:] = key[1:] != key[:-1]
         alone = first.copy()
         alone[:-1] &= first[1:]
-        own = mix(mix(doc_id.view(np.uint64)) + at.astype(np.uint64)).view(np.int64)
-        for start in range(0, len(key), 200_000):
-            s = slice(start, start + 200_000)
-            yield frames.batch(ROWS, key=np.where(alone[s], key[s], own[s]), doc_id=doc_id[s], at=at[s], n=n[s] + np.where(alone[s], 0, KNOWN).astype(np.int32))
+        known = ~alone
+        k_doc, k_at, k_n = doc_id[known], at[known], n[known]
+        if self.merge and len(k_doc):
+            by = np.lexsort((k_at, k_doc))
+            k_doc, k_at, k_n = k_doc[by], k_at[by], k_n[by]
+            start = np.ones(len(k_doc), dtype=bool)
+            start[1:] = (k_doc[1:] != k_doc[:-1]) | (k_at[1:] != k_at[:-1] + k_n[:-1])
+            k_doc, k_at, k_n = k_doc[start], k_at[start], np.add.reduceat(k_n, np.flatnonzero(start))
+        yield from self._rows(key[alone], doc_id[alone], at[alone], n[alone])
+        yield from self._rows(mix(mix(k_doc.view(np.uint64)) + k_at.astype(np.uint64)).view(np.int64), k_doc, k_at, -k_n)
         speak = key[first & ~alone]
         if len(speak):
             yield frames.batch(ROWS, key=speak, doc_id=pa.nulls(len(speak), pa.int64()), at=np.zeros(len(speak), np.int32), n=np.zeros(len(speak), np.int32))
 
+    def _rows(self, key, doc_id, at, n):
+        for start in range(0, len(key), 200_000):
+            s = slice(start, start + 200_000)
+            yield frames.batch(ROWS, key=key[s], doc_id=doc_id[s], at=at[s], n=n[s])
+
 
 def repeated(rows: DataFrame) -> DataFrame:
     """doc_id, at and n of the rows whose key occurs more than once."""
     counted = rows.withColumn("__count", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    found = counted.filter(F.col("doc_id").isNotNull() & ((F.col("n") >= KNOWN) | (F.col("__count") > 1)))
-    return found.select("doc_id", "at", F.when(F.col("n") >= KNOWN, F.col("n") - KNOWN).otherwise(F.col("n")).alias("n"))
+    return counted.filter("doc_id is not null and (n < 0 or __count > 1)").select("doc_id", "at", F.abs("n").alias("n"))
 
 
 def by_document(rows: DataFrame, *columns: str) -> DataFrame:

@@ -29,12 +29,14 @@ from emberlog.llm import frames, repeats
 from emberlog.llm.words import mix, owners, powers, prefix_hash, span_hash, word_hashes, word_spans
 
 WINDOW = 35
-ROUNDS = 4
+ROUNDS = 3
 #: A longer run keeps its symbols: windows inside it could not see where it ends.
 LONGEST_RUN = 3
 _RUN, _PAIR = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
+_PLACE = np.uint64((1 << 32) - 1)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TURNS = mix(np.arange(64, dtype=np.uint64) + _PAIR)
 
 
@@ -118,7 +120,12 @@ def levels(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> list[Lev
 
 
 def representatives(found: list[Level], windows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For windows by their first words: the representative's key, and a number for its place (level and symbol)."""
+    """For windows by their first words: the representative's key, and a number for its place (level and symbol).
+
+    The key names the symbol and all words that its making depended on, which every window with this representative holds.
+    """
+    prefix = prefix_hash(found[0].name)
+    inverse = powers(len(prefix), _INVERSE)
     key = np.zeros(len(windows), dtype=np.uint64)
     place = np.full(len(windows), -1, dtype=np.int64)
     for height in range(len(found) - 1, -1, -1):
@@ -132,7 +139,7 @@ def representatives(found: list[Level], windows: np.ndarray, window: int) -> tup
         open_, begin, end = open_[some], begin[some], end[some]
         if not len(open_):
             continue
-        rank = (x.name >> np.uint64(24) << np.uint64(24)) | np.arange(len(x), dtype=np.uint64)  # smallest name, leftmost
+        rank = (x.name & ~_PLACE) | np.arange(len(x), dtype=np.uint64)  # smallest name, leftmost
         least = [rank]
         step = 1
         while step * 2 <= window:
@@ -146,8 +153,8 @@ def representatives(found: list[Level], windows: np.ndarray, window: int) -> tup
         for k in np.unique(size).tolist():
             m = size == k
             best[m] = np.minimum(least[k][begin[m]], least[k][end[m] - (1 << k)])
-        at = (best & np.uint64((1 << 24) - 1)).astype(np.int64)
-        key[open_] = mix(x.name[at] + np.uint64(height))
+        at = (best & _PLACE).astype(np.int64)
+        key[open_] = mix(x.name[at] + np.uint64(height)) + span_hash(prefix, x.low[at], x.high[at], inverse)
         place[open_] = at * 8 + height
     return key, place
 
@@ -161,7 +168,7 @@ def _starts(offsets: np.ndarray, window: int) -> np.ndarray:
 
 def _anchors(batches: Iterator[pa.RecordBatch], window: int, rounds: int) -> Iterator[pa.RecordBatch]:
     """Runs of windows with one representative: key, doc_id, first window, number of windows."""
-    rows = repeats.Rows()
+    rows = repeats.Rows(merge=True)
     for batch in batches:
         for start, stop in frames.pieces(batch.column(1)):
             body, offsets = frames.raw(batch.column(1).slice(start, stop - start))
@@ -183,7 +190,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, rounds: int) -> Ite
 
 def _named(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Names of candidate windows from rows of doc_id, text, and lists of first windows and their numbers."""
-    rows = repeats.Rows()
+    rows = repeats.Rows(merge=True)
     for batch in batches:
         for start, stop in frames.pieces(batch.column(1)):
             part = batch.slice(start, stop - start)
@@ -200,9 +207,6 @@ def _named(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
     yield from rows.out(True)
 
 
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
 def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """doc_id, n_words, n_removed, and the kept words joined by spaces, from rows of doc_id, text and repeated windows (null: none)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.large_binary())])
@@ -215,7 +219,7 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
             for k, at in enumerate(part.column(2)):
                 if at.is_valid and len(at):
                     first = at.values.to_numpy()
-                    gone[bounds[k] : bounds[k + 1]] = repeats.covered(first, first + window, bounds[k + 1] - bounds[k])
+                    gone[bounds[k] : bounds[k + 1]] = repeats.covered(first, first + part.column(3)[k].values.to_numpy() - 1 + window, bounds[k + 1] - bounds[k])
             # each kept word and a space behind it
             stays = ~gone
             length = np.where(stays, ends - begins + 1, 0)
@@ -247,13 +251,13 @@ def _texts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
 
 
 def _marked(docs: DataFrame, window: int, rounds: int) -> DataFrame:
-    """doc_id, text and the first words of the document's repeated windows."""
+    """doc_id, text and the document's repeated windows: first words and numbers of windows that follow one another."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = docs.repartition(parts, "doc_id")
+    placed = docs.filter("doc_id is not null").repartition(parts, "doc_id")  # the joins would put this filter below one use of the exchange
     candidates = repeats.by_document(repeats.repeated(docs.mapInArrow(lambda it: _anchors(it, window, rounds), repeats.DDL)), "at", "n")
     named = placed.join(candidates, "doc_id").select("doc_id", "text", "at", "n").mapInArrow(lambda it: _named(it, window), repeats.DDL)
-    found = repeats.by_document(repeats.repeated(named), "at")
-    return placed.join(found, "doc_id", "left").select("doc_id", "text", "at")
+    found = repeats.by_document(repeats.repeated(named), "at", "n")
+    return placed.join(found, "doc_id", "left").select("doc_id", "text", "at", "n")
 
 
 def removed_words(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -304,7 +304,7 @@ def repeated_spans(docs: DataFrame, placed: DataFrame, length: int = LENGTH, rea
 
 def _marked(docs: DataFrame, length: int, reach: int) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = docs.repartition(parts, "doc_id")
+    placed = docs.filter("doc_id is not null").repartition(parts, "doc_id")  # the joins would put this filter below one use of the exchange
     spans = repeats.by_document(repeated_spans(docs, placed, length, reach), "start", "stop")
     return placed.join(spans, "doc_id", "left").select("doc_id", "text", "start", "stop")
 
