@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import exact_dedup, id_store, language_id, packing, sentence_pieces, substring_dedup, suffix_dedup
+from emberlog.llm import exact_dedup, id_store, language_id, ngram_join, packing, sentence_pieces, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_substring_dedup, op5_packing, op7_sentence_pieces, op8_language_id, op9_token_counts, op10_id_store)
+    f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_substring_dedup, op5_packing, op6_ngram_join, op7_sentence_pieces, op8_language_id, op9_token_counts, op10_id_store)
 }
 
 ORACLE_SQL: dict[str, str] = {
