@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import exact_dedup, id_store, language_id, ngram_join, packing, sentence_pieces, substring_dedup, suffix_dedup
+from emberlog.llm import exact_dedup, id_store, language_id, metric_search, ngram_join, packing, sentence_pieces, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removed_words(_table(spark, sf_dir, "documents"))
 
 
+def op4_metric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_search.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_substring_dedup, op5_packing, op6_ngram_join, op7_sentence_pieces, op8_language_id, op9_token_counts, op10_id_store)
+    f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_substring_dedup, op4_metric_search, op5_packing, op6_ngram_join, op7_sentence_pieces, op8_language_id, op9_token_counts, op10_id_store)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -58,4 +62,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op4_metric_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10""",
 }
