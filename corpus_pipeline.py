@@ -1,17 +1,76 @@
-"""The corpus pipeline: language ID, exact dedup, near dedup, substring dedup, packing. Each stage reads what the one before it kept."""
+"""The corpus pipeline: language ID, exact dedup, near dedup, substring dedup, packing. Each stage works on all that the one before it kept.
+
+Every stage but the last returns the columns of its documents. Rows whose ids repeat or are null are documents of their own throughout;
+an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberlog.llm import exact_dedup, frames, language_id, ngram_join, packing, substring_dedup
+
+#: A document whose best cosine is below this shares next to nothing with any language learnt.
+LEAST_SCORE = 0.02
+#: Near copies: shingles of five words, similarity of 0.8 or more.
+GRAM, PERCENT = 5, 80
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter, and those like no language of the documents with a known one."""
+    rows = frames.with_row_ids(docs)
+    names, table = language_id.prototypes(docs)
+    found = language_id.identify(rows, names, table, id_col="__uid")
+    kept = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(F.col("doc_id").alias("__kept"))
+    return rows.join(kept, rows["__uid"] == kept["__kept"], "left_semi").drop("__uid")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays."""
+    rows = frames.with_row_ids(docs)
+    kept = exact_dedup.exact_dedup(rows, id_col="__uid").filter("kept").select(F.col("doc_id").alias("__kept"))
+    return rows.join(kept, rows["__uid"] == kept["__kept"], "left_semi").drop("__uid")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies, and what they are linked to, the document with the smallest id stays."""
+    rows = frames.with_row_ids(docs)
+    kept = ngram_join.near_components(rows, GRAM, PERCENT, id_col="__uid").filter("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
+    return rows.join(kept, rows["__uid"] == kept["__kept"], "left_semi").drop("__uid")
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 35 words or more that occur elsewhere; a document left without words goes, one without such passages stays as it is."""
+    rows = frames.with_row_ids(docs)
+    cut = substring_dedup.deduplicated(rows, id_col="__uid").filter("n_removed = 0 or n_removed < n_words").select(F.col("doc_id").alias("__cut"), F.col("text").alias("__text"), "n_removed")
+    out = rows.drop("text").join(cut, F.col("__uid") == F.col("__cut")).withColumnRenamed("__text", "text")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token sequences."""
+    return packing.pack(docs)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
+    ("exact_dedup", exact),
+    ("ngram_join", near),
+    ("substring_dedup", substrings),
+    ("packing", pack),
+]
 
-#: Language ID, components and recompression are not expressible in SQL; tests hold the pipeline against brute force.
+#: Hyperdimensional profiles and tokenisation are not expressible in SQL; tests hold the pipeline against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = frames.staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -79,6 +79,15 @@ def unique_ids(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFr
     return numbered.select(F.col("uid").alias("doc_id"), "text"), restore
 
 
+def with_row_ids(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """df with a column __uid that is unique and not null: the id itself where ids are so, else numbers in the order of (id, all columns)."""
+    key = F.col(f"`{id_col}`").cast("long")
+    odd = df.groupBy(key.alias("__uid")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1 or __uid is null").limit(1)
+    if not odd.take(1):
+        return df.withColumn("__uid", key)
+    return staged(dense_numbers(df, [key.asc_nulls_first(), *[F.col(f"`{c}`") for c in df.columns if c != id_col]], "__uid"), "rows")
+
+
 def dense_numbers(df: DataFrame, order: list, name: str) -> DataFrame:
     """Number rows from 0 in the given order: a range partitioning, then each partition's base from the partitions' counts."""
     spark = df.sparkSession

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,8 +209,8 @@ def _named(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
 
 
 def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_words, n_removed, and the kept words joined by spaces, from rows of doc_id, text and repeated windows (null: none)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.large_binary())])
+    """doc_id, n_words, n_removed, the kept words joined by spaces, and the text, from rows of doc_id, text and repeated windows (null: none)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.large_binary()), ("text", pa.string())])
     for batch in batches:
         for start, stop in frames.pieces(batch.column(1)):
             part = batch.slice(start, stop - start)
@@ -235,7 +236,7 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
             removed = np.where(n_words > 0, removed, 0)
             view = memoryview(joined)
             kept = [bytes(view[a : max(a, b - 1)]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-            yield frames.batch(schema, doc_id=part.column(0), n_words=n_words, n_removed=removed.astype(np.int64), kept=pa.array(kept, pa.large_binary()))
+            yield frames.batch(schema, doc_id=part.column(0), n_words=n_words, n_removed=removed.astype(np.int64), kept=pa.array(kept, pa.large_binary()), text=part.column(1))
 
 
 def _digests(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -246,7 +247,7 @@ def _digests(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 def _texts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in _kept(batches, window):
-        text = batch.column(3).cast(pa.large_string()).cast(pa.string())
+        text = pc.if_else(pc.greater(batch.column(2), 0), batch.column(3).cast(pa.large_string()).cast(pa.string()), batch.column(4))
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], text], names=["doc_id", "n_words", "n_removed", "text"])
 
 
@@ -267,6 +268,6 @@ def removed_words(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_
 
 
 def deduplicated(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed and text (the kept words joined by spaces) of each row."""
+    """doc_id, n_words, n_removed and text of each row: the kept words joined by spaces, or the text as it was where nothing goes."""
     docs, restore = frames.unique_ids(frames.documents(df, id_col, text_col))
     return restore(_marked(docs, window, rounds).mapInArrow(lambda it: _texts(it, window), "doc_id long, n_words long, n_removed long, text string"))
