@@ -1,7 +1,7 @@
 """Distinct-chunk tables: texts are cut where no token can cross, each distinct chunk is tokenised once, results go back by position.
 
-A table belongs to one Python worker. It grows with the chunks that the worker meets and starts anew at TABLE_CHUNKS entries, so that
-a worker's memory is bounded whatever it reads.
+A table belongs to one Python worker. It grows with the chunks that the worker meets, up to TABLE_CHUNKS entries, so that a worker's
+memory is bounded whatever it reads.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 from emberlog.llm import frames
 
-#: Entries of a table before it starts anew.
+#: Entries of a table.
 TABLE_CHUNKS = 600_000
 #: Bytes of text whose chunks are looked up together.
 GROUP_BYTES = 1 << 23
@@ -99,27 +99,42 @@ def split(texts: pa.Array, cuts: Callable[[np.ndarray, np.ndarray], np.ndarray],
 
 
 class Table:
-    """Values of the distinct chunks met so far; encode gives the values of a list of chunks as an Arrow array."""
+    """Values of distinct chunks met so far; encode gives the values of a list of chunks as an Arrow array."""
 
     def __init__(self, encode: Callable[[list[str]], pa.Array]):
         self.encode, self.known, self.values = encode, None, None
 
-    def codes(self, chunks: pa.Array) -> np.ndarray:
-        """The row of self.values for each chunk, after new chunks got theirs."""
+    def codes(self, chunks: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """A row for each chunk, and the values by row.
+
+        A full table stays as it is while it knows most of the chunks asked for, as frequent ones come early; others are encoded for the
+        call alone. Else it starts anew with the chunks at hand.
+        """
         coded = chunks.dictionary_encode()
-        distinct = coded.dictionary
-        if self.known is None or len(self.known) + len(distinct) > TABLE_CHUNKS:
-            self.known, self.values = distinct, self.encode(distinct.to_pylist())
-            return coded.indices.to_numpy(zero_copy_only=False)
+        indices, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        if self.known is None:
+            return self._anew(distinct, indices)
         place = pc.index_in(distinct, value_set=self.known)
-        new = distinct.filter(pc.is_null(place))
-        rows = place.to_numpy(zero_copy_only=False)
-        if len(new):
-            rows = np.where(np.isnan(rows), 0, rows).astype(np.int64) if rows.dtype.kind == "f" else rows.astype(np.int64)
-            rows[place.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
-            self.known = pa.concat_arrays([self.known, new])
-            self.values = pa.concat_arrays([self.values, self.encode(new.to_pylist())])
-        return rows[coded.indices.to_numpy(zero_copy_only=False)]
+        missing = place.is_null().to_numpy(zero_copy_only=False)
+        n = int(missing.sum())
+        rows = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not n:
+            return rows[indices], self.values
+        full = len(self.known) + n > TABLE_CHUNKS
+        if full and 2 * n > len(distinct):
+            return self._anew(distinct, indices)
+        new = distinct.filter(pa.array(missing))
+        rows[missing] = len(self.known) + np.arange(n)
+        values = pa.concat_arrays([self.values, self.encode(new.to_pylist())])
+        if not full:
+            self.known, self.values = pa.concat_arrays([self.known, new]), values
+        return rows[indices], values
+
+    def _anew(self, distinct: pa.Array, indices: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        values = self.encode(distinct.to_pylist())
+        if len(distinct) <= TABLE_CHUNKS:
+            self.known, self.values = distinct, values
+        return indices, values
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -188,8 +203,8 @@ class WordIds:
     def __call__(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
         """All ids with the end id after each text, the n + 1 offsets, the chunks, their per-text offsets and the ids before each chunk's end."""
         chunks, per_text = split(texts, at_white_space, marks=True)
-        rows = self.table.codes(chunks)
-        taken = self.table.values.take(pa.array(rows))
+        rows, values = self.table.codes(chunks)
+        taken = values.take(pa.array(rows))
         flat = taken.flatten().to_numpy(zero_copy_only=False)
         bounds = np.asarray(taken.offsets, dtype=np.int64)
         chunk_ends = bounds[1:] - bounds[0]

@@ -30,7 +30,7 @@ from emberlog.llm.words import mix, powers
 
 RING = 8
 #: A chunk ends where this many low bits of the rolling hash are clear, and after LONGEST ids at the latest.
-BITS, LONGEST = 8, 4096
+BITS, LONGEST = 10, 8192
 #: Digests that a task remembers as sent, before it starts anew.
 REMEMBERED = 100_000
 

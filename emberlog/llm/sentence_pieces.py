@@ -52,10 +52,11 @@ def encoded(df: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "do
         table = chunks.Table(lambda words: _pairs(sp, words))
         for rows in chunks.groups(batches):
             words, per_text = _words(rows.column(1))
-            codes = pa.array(table.codes(words))
-            lists = table.values.field("ids").take(codes)
+            codes, values = table.codes(words)
+            codes = pa.array(codes)
+            lists = values.field("ids").take(codes)
             bounds = np.asarray(lists.offsets, dtype=np.int64)[per_text]
-            body, ends = frames.raw(table.values.field("text").take(codes))
+            body, ends = frames.raw(values.field("text").take(codes))
             whole, ends = body.tobytes(), ends[per_text].tolist()
             decoded = [whole[a + 1 : b].decode() for a, b in zip(ends[:-1], ends[1:])]  # the first word's space goes
             yield frames.batch(schema, doc_id=rows.column(0), ids=pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), lists.flatten()), decoded=decoded)
@@ -100,11 +101,11 @@ def digests(df: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "do
         table = chunks.Table(lambda words: values(sp, words))
         for rows in chunks.groups(batches):
             words, per_text = _words(rows.column(1))
-            codes = table.codes(words)
-            n = chunks.sums(table.values.field("n").to_numpy()[codes], per_text)
+            codes, found = table.codes(words)
+            n = chunks.sums(found.field("n").to_numpy()[codes], per_text)
             shas = []
             for name in ("ids", "text"):
-                body, ends = frames.raw(table.values.field(name).take(pa.array(codes)))
+                body, ends = frames.raw(found.field(name).take(pa.array(codes)))
                 view, skip = memoryview(body), name == "text"
                 ends = ends[per_text]
                 shas.append([hashlib.sha256(view[a + skip : b - (not skip)] if b > a else b"").hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())])
@@ -133,8 +134,8 @@ def token_counts(df: DataFrame, model: str = "piece_bpe_32k.model", limit: int =
             cut = _words
         for rows in chunks.groups(batches):
             pre_tokens, per_text = cut(rows.column(1))
-            counts = table.codes(pre_tokens)
-            counts = table.values.to_numpy()[counts]
+            codes, counts = table.codes(pre_tokens)
+            counts = counts.to_numpy()[codes]
             yield frames.batch(schema, doc_id=rows.column(0), n_bytes=frames.byte_lengths(rows.column(1)), n_tokens=chunks.sums(counts, per_text))
 
     return docs.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
