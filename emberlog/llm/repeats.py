@@ -38,11 +38,13 @@ class Rows:
         key, doc_id, at, n = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.size = [], 0
         order = np.argsort(key, kind="stable")
-        key, doc_id, at, n = key[order], doc_id[order], at[order], n[order]
+        by_key = key[order]
         first = np.ones(len(key), dtype=bool)
-        first[1:] = key[1:] != key[:-1]
-        alone = first.copy()
-        alone[:-1] &= first[1:]
+        first[1:] = by_key[1:] != by_key[:-1]
+        single = first.copy()
+        single[:-1] &= first[1:]
+        alone = np.empty(len(key), dtype=bool)  # rows stay in the order of documents, which packs better
+        alone[order] = single
         known = ~alone
         k_doc, k_at, k_n = doc_id[known], at[known], n[known]
         if self.merge and len(k_doc):
@@ -53,7 +55,7 @@ class Rows:
             k_doc, k_at, k_n = k_doc[start], k_at[start], np.add.reduceat(k_n, np.flatnonzero(start))
         yield from self._rows(key[alone], doc_id[alone], at[alone], n[alone])
         yield from self._rows(mix(mix(k_doc.view(np.uint64)) + k_at.astype(np.uint64)).view(np.int64), k_doc, k_at, -k_n)
-        speak = key[first & ~alone]
+        speak = by_key[first & ~single]
         if len(speak):
             yield frames.batch(ROWS, key=speak, doc_id=pa.nulls(len(speak), pa.int64()), at=np.zeros(len(speak), np.int32), n=np.zeros(len(speak), np.int32))
 

@@ -33,7 +33,7 @@ from emberlog.llm.words import mix
 
 LENGTH = 100
 #: A window's representative starts among its first REACH bytes.
-REACH = 64
+REACH = 76
 #: Bytes that a symbol of the suffix array stands for.
 BLOCK = 16
 #: Stretches that a task sorts together, and stretches that it gathers before it drops equal ones.
@@ -104,7 +104,14 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, reach: int) -> Iter
 
 
 def _spans(doc_id, start, stop) -> pa.RecordBatch:
-    """Finished spans travel as stretches without text, under keys of their own."""
+    """Finished spans travel as stretches without text, under keys of their own; those that touch go as one."""
+    order = np.lexsort((start, doc_id))
+    doc_id, start, stop = doc_id[order], start[order], stop[order]
+    base = np.cumsum(np.append(0, doc_id[1:] != doc_id[:-1])) << 40  # documents apart
+    reach = np.maximum.accumulate(stop + base)
+    new = np.append(True, (start + base)[1:] > reach[:-1])
+    at = np.flatnonzero(new)
+    doc_id, start, stop = doc_id[at], start[at], (reach - base)[np.append(at[1:], len(new)) - 1]
     key = mix(mix(doc_id.view(np.uint64)) + start.astype(np.uint64)).view(np.int64)
     return frames.batch(STRETCH, key=key, doc_id=doc_id, at=start, before=np.zeros(len(key), np.int32), n=(stop - start).astype(np.int32), body=pa.nulls(len(key), pa.binary()))
 
