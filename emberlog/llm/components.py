@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among a node's neighbours and then that label's own label, so stars take two rounds and long
     chains about the logarithm of their length. A round's labels are written in the shared folder; only a flag comes to the driver.
     """
-    both = frames.staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # in one pass over the edges
+    both = frames.staged(edges.select(ways.alias("way")).select("way.a", "way.b").distinct(), "edges")
     labels = frames.staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))

@@ -35,7 +35,7 @@ GRAM, PERCENT = 4, 85
 RATIO = 1.384
 #: Fragments for each element in which linked sets may differ.
 SLACK = 1.5
-BLOCK = 100
+BLOCK = 200
 #: Fragments whose partial overlaps step 4 counts apart.
 PARTS = 8
 
@@ -151,17 +151,20 @@ def _segments(batches: Iterator[pa.RecordBatch], gram: int, percent: int, limit:
     def out() -> Iterator[pa.RecordBatch]:
         key, doc, kind, need = (np.concatenate(x) for x in zip(*held))
         key = key.view(np.int64)
+        kind, need = kind.astype(np.int32), need.astype(np.int32)
         order = np.argsort(key, kind="stable")
-        key, doc, kind, need = key[order], doc[order], kind[order].astype(np.int32), need[order].astype(np.int32)
+        by_key = key[order]
         first = np.ones(len(key), dtype=bool)
-        first[1:] = key[1:] != key[:-1]
-        alone = first.copy()
-        alone[:-1] &= first[1:]
+        first[1:] = by_key[1:] != by_key[:-1]
+        single = first.copy()
+        single[:-1] &= first[1:]
+        alone = np.empty(len(key), dtype=bool)  # rows stay in the order of documents, which packs better
+        alone[order] = single
         shown = np.where(alone, key, mix(mix(doc.view(np.uint64)) + key.view(np.uint64)).view(np.int64))
         for a in range(0, len(key), 200_000):
             s = slice(a, a + 200_000)
             yield frames.batch(SEGMENTS, key=shown[s], segment=pa.array(key[s], pa.int64(), mask=alone[s]), doc_id=doc[s], kind=kind[s], need=need[s])
-        speak = key[first & ~alone]
+        speak = by_key[first & ~single]
         if len(speak):
             none, zero = pa.nulls(len(speak), pa.int64()), np.zeros(len(speak), np.int32)
             yield frames.batch(SEGMENTS, key=speak, segment=none, doc_id=none, kind=zero, need=zero)
@@ -263,6 +266,7 @@ def classes(df: DataFrame, gram: int = GRAM) -> DataFrame:
     """doc_id, n (set size) and representative (smallest document with the same set; itself where the set is empty) of docs (doc_id, text)."""
     prints = frames.staged(df.mapInArrow(lambda it: _fingerprints(it, gram), "doc_id long, n long, low long, high long"), "fingerprints")
     heads = prints.filter("n > 0").groupBy("n", "low", "high").agg(F.min("doc_id").alias("representative"))
+    heads = frames.staged(heads, "heads")  # both sides of the join then come from exchanges, whose skewed partitions are split
     found = prints.join(heads, ["n", "low", "high"], "left")
     return found.select("doc_id", "n", F.coalesce("representative", "doc_id").alias("representative"))
 
