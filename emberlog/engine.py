@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions import times
@@ -34,8 +34,9 @@ class Settings:
     max_query: int = MAX_QUERY
     sketch: bool = False
 
-    def context(self) -> Context:
-        return Context(times.now_micros(self.now), LEVELS | {k.lower(): v for k, v in self.levels.items()})
+    def context(self, rolling: bool = False) -> Context:
+        now = F.unix_micros(F.current_timestamp()) if rolling and self.now is None else times.now_micros(self.now)
+        return Context(now, LEVELS | {k.lower(): v for k, v in self.levels.items()})
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,7 @@ class Result:
         return self.rows.df.select(*[quoted(c) for c in self.rows.columns])
 
 
-def bound(text: str, now: int) -> int:
+def bound(text: str, now: int | Column) -> int | Column:
     """Microseconds of a time bound: RFC 3339, "now", or a duration from now."""
     if text == "now":
         return now
@@ -67,7 +68,7 @@ def bound(text: str, now: int) -> int:
 
 def run(query: Query, rows: Rows, settings: Settings = Settings(), streaming: bool = False) -> Rows:
     """The rows after the bounds, the filter and the stages of a query."""
-    context = settings.context()
+    context = settings.context(streaming)
     ts = rows.resolver.resolve(Path(("ts",)))
     for op, text in ((">=", settings.since), ("<=", settings.until)):
         if text is not None:

@@ -202,8 +202,10 @@ class Resolved(Value):
     def code(self) -> Column:
         return F.when(self.source.isNull(), F.lit("m")).otherwise(F.lit("t"))
 
-    def compare(self, op: str, at: int) -> Column:
+    def compare(self, op: str, at: int | Column) -> Column:
         """Comparison with microseconds; on a typed column with a literal of its type."""
+        if isinstance(at, Column):
+            return COMPARE[op](self.source, at)
         if isinstance(self.type, T.TimestampNTZType):
             return COMPARE[op](self.column, F.expr(f"timestampadd(MICROSECOND, {at}L, TIMESTAMP_NTZ'1970-01-01 00:00:00')"))
         if isinstance(self.type, T.TimestampType):

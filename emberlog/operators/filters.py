@@ -24,9 +24,9 @@ NUMERIC = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 
 @dataclass(frozen=True)
 class Context:
-    """What a filter depends on besides the row: the run's time in microseconds, and the level table."""
+    """What a filter depends on besides the row: the run's time in microseconds (a column where it moves on), and the level table."""
 
-    now: int
+    now: int | Column
     levels: dict[str, int] = field(default_factory=lambda: dict(LEVELS))
 
 

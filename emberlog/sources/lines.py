@@ -7,9 +7,9 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions import times
@@ -31,7 +31,6 @@ class Options:
     max_line: int = MAX_LINE
     max_depth: int = MAX_DEPTH
     tz: str = "UTC"
-    count: bool = False  # fill the counters, for which each line's keys and timestamp are looked at
 
 
 class InputError(Exception):
@@ -40,11 +39,11 @@ class InputError(Exception):
 
 @dataclass
 class Lines:
-    """Decoded rows, the lines that were not, and counters that the run of a query fills."""
+    """Decoded rows, the lines that were not, and a row of counters, which takes a pass of its own."""
 
     rows: Rows
     bad: DataFrame
-    counters: dict[str, Observation] = field(default_factory=dict)
+    counters: DataFrame
 
 
 def _head(path: str, size: int = 1 << 20) -> bytes:
@@ -130,7 +129,7 @@ def _misnamed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, parts: list[tuple[DataFrame, str]], options: Options) -> Lines:
-    good, counters = None, {}
+    good = None
     for df, kind in parts:
         first = (F.col("__seq.block") == 0) & F.col("__line").startswith("﻿")
         df = df.withColumn("__oversized", F.octet_length("__line") > options.max_line)
@@ -149,13 +148,12 @@ def _decoded(spark: SparkSession, parts: list[tuple[DataFrame, str]], options: O
         good = df if good is None else good.unionByName(df)
     found = F.transform(F.array(*[F.struct(_text(v).alias("text"), v.integer().alias("whole")) for v in map(_candidate, times.CANDIDATES)]), lambda c: F.coalesce(times.parsed(c["text"], options.tz), times.epoch(c["whole"])))
     good = good.withColumn("__ts", F.get(F.array_compact(found), F.lit(0)))
-    if options.count:
-        present = F.exists(F.array(*[_candidate(c).source.isNotNull() for c in times.CANDIDATES]), lambda p: p)
-        good = good.withColumn("__unparsed", F.col("__v").isNotNull() & F.col("__ts").isNull() & present)
-        seen = Observation()
-        count = lambda c: F.sum(F.col(c).cast("long"))
-        good = good.observe(seen, F.sum((~F.col("__oversized") & ~F.col("__empty")).cast("long")).alias("lines"), count("__malformed").alias("malformed"), count("__oversized").alias("oversized"), count("__empty").alias("empty"), F.sum("__dup").alias("dup_keys"), count("__unparsed").alias("ts_unparsed"))
-        counters["lines"] = seen
+    present = F.exists(F.array(*[_candidate(c).source.isNotNull() for c in times.CANDIDATES]), lambda p: p)
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    counters = good.agg(
+        count(~F.col("__oversized") & ~F.col("__empty")).alias("lines"), count(F.col("__malformed")).alias("malformed"), count(F.col("__oversized")).alias("oversized"), count(F.col("__empty")).alias("empty"),
+        count(F.col("__dup")).alias("dup_keys"), count(F.col("__v").isNotNull() & F.col("__ts").isNull() & present).alias("ts_unparsed"),
+    )
     bad = good.filter(F.col("__malformed") | F.col("__oversized"))
     rows = Rows(good.filter(F.col("__v").isNotNull()), Resolver({}, "__v", "null", options.tz, ts="__ts"), ("__v",), ("__seq",), "__line")
     return Lines(rows, bad, counters)
