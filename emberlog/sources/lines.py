@@ -103,13 +103,14 @@ def read(spark: SparkSession, paths: list[str], options: Options = Options()) ->
         else:
             df = spark.read.option("lineSep", "\n").text(p).select(F.col("value").alias("__line"), F.struct(F.lit(number).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("__seq"))
         parts.append((df, kind))
-    return _decoded(spark, parts, options)
+    return _decoded(parts, options)
 
 
 def from_lines(df: DataFrame, line: str, order: str, options: Options) -> Lines:
     """Rows of a table that has lines in a column and their order in another."""
     lines = df.select(F.col(line).alias("__line"), F.struct(F.lit(0).alias("file"), F.lit(0).cast("long").alias("block"), F.col(order).cast("long").alias("id")).alias("__seq"))
-    return _decoded(df.sparkSession, [(lines, options.format)], options)
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return _decoded([(lines, options.format)], options)
 
 
 def _misnamed(spark: SparkSession, path: str) -> DataFrame:
@@ -128,26 +129,47 @@ def _misnamed(spark: SparkSession, path: str) -> DataFrame:
     return found.select("__line", F.struct(F.lit(0).alias("file"), F.lit(0).cast("long").alias("block"), "id").alias("__seq"))
 
 
-def _decoded(spark: SparkSession, parts: list[tuple[DataFrame, str]], options: Options) -> Lines:
+def readable(path: str) -> bool:
+    return os.path.isfile(path)
+
+
+def _with_values(df: DataFrame, kind: str, options: Options) -> DataFrame:
+    """Lines (__line, __seq) with their values (__v, null if malformed) and what counters need."""
+    first = (F.col("__seq.block") == 0) & F.col("__line").startswith("﻿")
+    df = df.withColumn("__oversized", F.octet_length("__line") > options.max_line)
+    line = F.when(first, F.substr("__line", F.lit(2))).otherwise(F.col("__line"))
+    df = df.withColumn("__line", F.when(line.endswith("\r"), F.substr(line, F.lit(1), F.length(line) - 1)).otherwise(line))
+    df = df.withColumn("__empty", ~F.col("__oversized") & (F.col("__line") == ""))
+    value = F.when(~F.col("__oversized") & ~F.col("__empty"), decode(F.col("__line"), kind, options.max_depth))
+    # through a generator, which filters stay above: a line is decoded once however often a query looks at it
+    df = df.select("*", F.explode(F.array(value)).alias("__v"))
+    keys = F.json_object_keys("__line")
+    dup = F.when(F.col("__v").isNotNull(), F.size(keys) - F.size(F.array_distinct(keys))).otherwise(F.lit(0)) if kind == "jsonl" else F.lit(0)
+    return df.withColumn("__dup", dup).withColumn("__malformed", ~F.col("__oversized") & ~F.col("__empty") & F.col("__v").isNull())
+
+
+def _with_time(df: DataFrame, options: Options) -> DataFrame:
+    candidates = F.array(*[F.struct(_text(v).alias("text"), v.integer().alias("whole")) for v in map(_candidate, times.CANDIDATES)])
+    found = F.transform(candidates, lambda c: F.coalesce(times.parsed(c["text"], options.tz), times.epoch(c["whole"])))
+    return df.withColumn("__ts", F.get(F.array_compact(found), F.lit(0)))
+
+
+def _rows(df: DataFrame, options: Options) -> Rows:
+    return Rows(df.filter(F.col("__v").isNotNull()), Resolver({}, "__v", "null", options.tz, ts="__ts"), ("__v",), ("__seq",), "__line")
+
+
+def decoded_rows(df: DataFrame, kind: str, options: Options) -> Rows:
+    """Rows of lines (__line, __seq) of one format."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return _rows(_with_time(_with_values(df, kind, options), options), options)
+
+
+def _decoded(parts: list[tuple[DataFrame, str]], options: Options) -> Lines:
     good = None
     for df, kind in parts:
-        first = (F.col("__seq.block") == 0) & F.col("__line").startswith("﻿")
-        df = df.withColumn("__oversized", F.octet_length("__line") > options.max_line)
-        line = F.when(first, F.substr("__line", F.lit(2))).otherwise(F.col("__line"))
-        df = df.withColumn("__line", F.when(line.endswith("\r"), F.substr(line, F.lit(1), F.length(line) - 1)).otherwise(line))
-        df = df.withColumn("__empty", ~F.col("__oversized") & (F.col("__line") == ""))
-        value = F.when(~F.col("__oversized") & ~F.col("__empty"), decode(F.col("__line"), kind, options.max_depth))
-        # through a generator, which filters stay above: a line is decoded once however often a query looks at it
-        df = df.select("*", F.explode(F.array(value)).alias("__v"))
-        if kind == "jsonl":
-            keys = F.json_object_keys("__line")
-            df = df.withColumn("__dup", F.when(F.col("__v").isNotNull(), F.size(keys) - F.size(F.array_distinct(keys))).otherwise(F.lit(0)))
-        else:
-            df = df.withColumn("__dup", F.lit(0))
-        df = df.withColumn("__malformed", ~F.col("__oversized") & ~F.col("__empty") & F.col("__v").isNull())
+        df = _with_values(df, kind, options)
         good = df if good is None else good.unionByName(df)
-    found = F.transform(F.array(*[F.struct(_text(v).alias("text"), v.integer().alias("whole")) for v in map(_candidate, times.CANDIDATES)]), lambda c: F.coalesce(times.parsed(c["text"], options.tz), times.epoch(c["whole"])))
-    good = good.withColumn("__ts", F.get(F.array_compact(found), F.lit(0)))
+    good = _with_time(good, options)
     present = F.exists(F.array(*[_candidate(c).source.isNotNull() for c in times.CANDIDATES]), lambda p: p)
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     counters = good.agg(
@@ -155,8 +177,7 @@ def _decoded(spark: SparkSession, parts: list[tuple[DataFrame, str]], options: O
         count(F.col("__dup")).alias("dup_keys"), count(F.col("__v").isNotNull() & F.col("__ts").isNull() & present).alias("ts_unparsed"),
     )
     bad = good.filter(F.col("__malformed") | F.col("__oversized"))
-    rows = Rows(good.filter(F.col("__v").isNotNull()), Resolver({}, "__v", "null", options.tz, ts="__ts"), ("__v",), ("__seq",), "__line")
-    return Lines(rows, bad, counters)
+    return Lines(_rows(good, options), bad, counters)
 
 
 def _candidate(name: str) -> Variant:
