@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
@@ -81,6 +82,23 @@ def run(query: Query, rows: Rows, settings: Settings = Settings(), streaming: bo
     return rows
 
 
+def needs_time(query: Query, settings: Settings) -> bool:
+    """Whether a query looks at rows' timestamps."""
+
+    def paths(node) -> Iterator[Path]:
+        if isinstance(node, Path):
+            yield node
+        elif isinstance(node, tuple):
+            for x in node:
+                yield from paths(x)
+        elif hasattr(node, "__dataclass_fields__"):
+            for name in node.__dataclass_fields__:
+                yield from paths(getattr(node, name))
+
+    windows = any(getattr(s, "every", None) is not None for s in query.stages)
+    return windows or settings.since is not None or settings.until is not None or any(p.is_ts for p in paths((query.filter, query.stages)))
+
+
 def apply(stage, rows: Rows, settings: Settings, streaming: bool = False) -> Rows:
     if isinstance(stage, Fields):
         return steps.fields(rows, stage)
@@ -107,14 +125,14 @@ class Engine:
         """Query the lines of files."""
         chosen = replace(self.settings, **settings)
         parsed = parse(query, chosen.max_query)
-        found = lines.read(self.spark, paths, options or lines.Options(tz=chosen.tz))
+        found = lines.read(self.spark, paths, replace(options or lines.Options(tz=chosen.tz), time=needs_time(parsed, chosen)))
         return Result(parsed, run(parsed, replace(found.rows, notes={"lines": found}), chosen))
 
     def lines(self, query: str, df: DataFrame, line: str, order: str, format: str = "jsonl", **settings) -> Result:
         """Query a column of lines of a table."""
         chosen = replace(self.settings, **settings)
         parsed = parse(query, chosen.max_query)
-        found = lines.from_lines(df, line, order, lines.Options(format=format, tz=chosen.tz))
+        found = lines.from_lines(df, line, order, lines.Options(format=format, tz=chosen.tz, time=needs_time(parsed, chosen)))
         return Result(parsed, run(parsed, replace(found.rows, notes={"lines": found}), chosen))
 
 

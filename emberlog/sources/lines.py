@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions import times
+from emberlog.functions.text import let
 from emberlog.functions.values import STRING, Resolver, Variant, _get, column
 from emberlog.operators.rows import Rows
 
@@ -31,6 +32,7 @@ class Options:
     max_line: int = MAX_LINE
     max_depth: int = MAX_DEPTH
     tz: str = "UTC"
+    time: bool = True  # whether rows get their timestamps
 
 
 class InputError(Exception):
@@ -95,14 +97,21 @@ def read(spark: SparkSession, paths: list[str], options: Options = Options()) ->
         if "://" not in p and (not os.path.exists(p) or os.path.isdir(p)):
             raise InputError(f"open {p}: no such file")
     parts: list[tuple[DataFrame, str]] = []
+    alike: dict[str, dict[str, int]] = {}  # files by format, which are read together
     for number, p in enumerate(paths):
         remote = "://" in p
         kind = options.format if options.format != "auto" else "plain" if remote else detect(_head(p))
-        if not remote and is_gzip(p) and not p.endswith(".gz"):
-            df = _misnamed(spark, p)
+        if remote or p in alike.get(kind, {}):
+            parts.append((_text(spark, [p], F.lit(number)), kind))
+        elif is_gzip(p) and not p.endswith(".gz"):
+            parts.append((_misnamed(spark, p, number), kind))
         else:
-            df = spark.read.option("lineSep", "\n").text(p).select(F.col("value").alias("__line"), F.struct(F.lit(number).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("__seq"))
-        parts.append((df, kind))
+            alike.setdefault(kind, {})[os.path.abspath(p)] = number
+    for kind, numbers in alike.items():
+        # the file's place in the list, from its name
+        name = F.regexp_replace(F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+        ordinal = F.lit(next(iter(numbers.values()))) if len(numbers) == 1 else F.try_element_at(F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair]), name)
+        parts.append((_text(spark, list(numbers), ordinal), kind))
     return _decoded(parts, options)
 
 
@@ -113,7 +122,13 @@ def from_lines(df: DataFrame, line: str, order: str, options: Options) -> Lines:
     return _decoded([(lines, options.format)], options)
 
 
-def _misnamed(spark: SparkSession, path: str) -> DataFrame:
+def _text(spark: SparkSession, paths: list[str], ordinal: Column) -> DataFrame:
+    """Lines of files; ordinal: the file's place among all."""
+    lines = spark.read.option("lineSep", "\n").text(paths)
+    return lines.select(F.col("value").alias("__line"), F.struct(ordinal.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("__seq"))
+
+
+def _misnamed(spark: SparkSession, path: str, number: int) -> DataFrame:
     """Lines of a gzip file whose name doesn't say so."""
 
     def unpack(batches: Iterator) -> Iterator:
@@ -126,7 +141,7 @@ def _misnamed(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({"__line": lines, "id": range(len(lines))})
 
     found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "__line string, id long")
-    return found.select("__line", F.struct(F.lit(0).alias("file"), F.lit(0).cast("long").alias("block"), "id").alias("__seq"))
+    return found.select("__line", F.struct(F.lit(number).alias("file"), F.lit(0).cast("long").alias("block"), "id").alias("__seq"))
 
 
 def readable(path: str) -> bool:
@@ -149,7 +164,9 @@ def _with_values(df: DataFrame, kind: str, options: Options) -> DataFrame:
 
 
 def _with_time(df: DataFrame, options: Options) -> DataFrame:
-    candidates = F.array(*[F.struct(_text(v).alias("text"), v.integer().alias("whole")) for v in map(_candidate, times.CANDIDATES)])
+    if not options.time:
+        return df.withColumn("__ts", F.lit(None).cast("long"))
+    candidates = F.array(*[F.struct(_string(v).alias("text"), v.integer().alias("whole")) for v in map(_candidate, times.CANDIDATES)])
     found = F.transform(candidates, lambda c: F.coalesce(times.parsed(c["text"], options.tz), times.epoch(c["whole"])))
     return df.withColumn("__ts", F.get(F.array_compact(found), F.lit(0)))
 
@@ -184,7 +201,7 @@ def _candidate(name: str) -> Variant:
     return Variant(_get(F.col("__v"), [name]))
 
 
-def _text(value: Variant) -> Column:
+def _string(value: Variant) -> Column:
     return F.when(column(value.has(STRING)), value.string())
 
 
@@ -199,10 +216,12 @@ def _json(line: Column, max_depth: int) -> Column:
     """One object and nothing else. The parser ignores what follows a value, so the line is parsed as the first element of an array whose
     second one is known."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), line, F.lit(f',"{_SENTINEL}"]')))
-    second = F.try_variant_get(wrapped, "$[1]", "string") == "\x01emberlog"
-    alone = F.try_variant_get(wrapped, "$[2]", "variant").isNull()
-    first = F.try_variant_get(wrapped, "$[0]", "variant")
-    good = F.coalesce(second & alone & F.schema_of_variant(first).startswith("OBJECT"), F.lit(False))
+
+    def checked(array: Column) -> Column:
+        second = F.try_variant_get(array, "$[1]", "string") == "\x01emberlog"
+        alone = F.try_variant_get(array, "$[2]", "variant").isNull()
+        return let(F.try_variant_get(array, "$[0]", "variant"), lambda first: F.when(second & alone & F.schema_of_variant(first).startswith("OBJECT"), first))
+
     openers = F.length(line) - F.length(F.translate(line, "{[", ""))  # in strings too: a bound that is quick to tell
     brackets = F.regexp_replace(F.regexp_replace(line, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
     depth = F.aggregate(
@@ -211,7 +230,7 @@ def _json(line: Column, max_depth: int) -> Column:
         lambda a: a["most"],
     )
     shallow = (openers <= max_depth) | (depth <= max_depth)
-    return F.when(good & shallow, first)
+    return F.when(shallow, let(wrapped, checked))
 
 
 def _logfmt(line: Column) -> Column:
