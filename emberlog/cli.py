@@ -150,7 +150,7 @@ def _run(argv: list[str], stdin: BinaryIO, stdout: BinaryIO, stderr: TextIO, spa
         if not rest or "-" in rest:
             raise Usage("watch mode needs files")
         return watch(spark, query, rest, args, settings, stdout, stderr)
-    paths = [_spooled(stdin) if p == "-" else p for p in rest or ["-"]]
+    paths = [_spooled(stdin, spark) if p == "-" else p for p in rest or ["-"]]
     try:
         found = sources.read(spark, paths, sources.Options(args.format, args.max_line, args.max_depth, args.tz))
     except sources.InputError as e:
@@ -233,12 +233,18 @@ def _emit(result, output: str, stdout: BinaryIO) -> None:
     stdout.flush()
 
 
-def _spooled(stdin: BinaryIO) -> str:
-    """Standard input as a file."""
+def _spooled(stdin: BinaryIO, spark) -> str:
+    """Standard input as a file, in the shared folder unless all runs on one machine."""
     with tempfile.NamedTemporaryFile(prefix="emberlog-stdin-", delete=False) as f:
         while block := stdin.read(1 << 20):
             f.write(block)
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         return f.name
+    shared = spark.conf.get("spark.checkpoint.dir")
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/{os.path.basename(f.name)}")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.copyFromLocalFile(True, spark._jvm.org.apache.hadoop.fs.Path(f.name), target)
+    return system.makeQualified(target).toString().replace("file:/", "file:///", 1)
 
 
 def _session(workers: int):

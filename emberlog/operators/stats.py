@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions import times
@@ -52,12 +52,12 @@ def stats(rows: Rows, stage: Stats, max_groups: int | None = MAX_GROUPS, max_sam
     for k, (v, as_is) in enumerate(zip(values, plain)):
         df = df.withColumn(f"__by{k}", v.native() if as_is else _key(v))
     group = (["__window"] if window is not None else []) + [f"__by{k}" for k in range(len(values))]
+    overflowed = False
     if max_groups is not None and group and not streaming:
-        df, overflowed = _guarded(df, group, arrival, max_groups)
-    else:
-        overflowed = False
+        # looks at the keys alone, so a scan of a table reads only their columns
+        overflowed = df.select(*group).distinct().limit(max_groups + 1).count() > max_groups
     if overflowed:
-        group = [*group, "__is_other"]
+        df, group = _guarded(df, group, arrival, max_groups), [*group, "__is_other"]
     aggregates: list[Column] = [F.count(F.lit(1)).alias("__n")]
     for k, (v, as_is) in enumerate(zip(values, plain)):
         if not as_is:
@@ -114,10 +114,8 @@ def stats(rows: Rows, stage: Stats, max_groups: int | None = MAX_GROUPS, max_sam
     )
 
 
-def _guarded(df, group: list[str], arrival: Column | None, most: int):
-    """df with groups after the first `most`, by arrival, folded into one; only where there are more."""
-    if len(df.select(*group).distinct().limit(most + 1).collect()) <= most:  # at most `most` + 1 keys
-        return df, False
+def _guarded(df: DataFrame, group: list[str], arrival: Column | None, most: int) -> DataFrame:
+    """df with the groups after the first `most`, by arrival, folded into one."""
     firsts = df.groupBy(*group).agg(F.min(arrival if arrival is not None else F.lit(0)).alias("__first"))
     kept = firsts.orderBy("__first", *group).limit(most).select(*[F.col(g).alias(f"__kept{n}") for n, g in enumerate(group)], F.lit(True).alias("__known"))
     match = F.lit(True)
@@ -126,7 +124,7 @@ def _guarded(df, group: list[str], arrival: Column | None, most: int):
     joined = df.join(F.broadcast(kept) if most <= 100_000 else kept, match, "left").withColumn("__is_other", F.col("__known").isNull())
     for g in group:
         joined = joined.withColumn(g, F.when(~F.col("__is_other"), F.col(g)))
-    return joined.drop("__known", *[f"__kept{n}" for n in range(len(group))]), True
+    return joined.drop("__known", *[f"__kept{n}" for n in range(len(group))])
 
 
 def _number(value: Value) -> Column:

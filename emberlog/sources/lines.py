@@ -64,6 +64,12 @@ def _head(path: str, size: int = 1 << 20) -> bytes:
         return f.read(size)
 
 
+def _remote_head(spark: SparkSession, path: str) -> bytes:
+    """The first lines of a file that Spark alone can open."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return "\n".join(r[0] for r in lines.filter("value <> ''").take(SAMPLE)).encode()
+
+
 def is_gzip(path: str) -> bool:
     with open(path, "rb") as f:
         return f.read(2) == b"\x1f\x8b"
@@ -100,7 +106,7 @@ def read(spark: SparkSession, paths: list[str], options: Options = Options()) ->
     alike: dict[str, dict[str, int]] = {}  # files by format, which are read together
     for number, p in enumerate(paths):
         remote = "://" in p
-        kind = options.format if options.format != "auto" else "plain" if remote else detect(_head(p))
+        kind = options.format if options.format != "auto" else detect(_remote_head(spark, p) if remote else _head(p))
         if remote or p in alike.get(kind, {}):
             parts.append((_text(spark, [p], F.lit(number)), kind))
         elif is_gzip(p) and not p.endswith(".gz"):
