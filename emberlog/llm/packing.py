@@ -29,6 +29,8 @@ from emberlog.llm import chunks, frames
 SIZE = 2048
 SENTENCE, INSIDE, SEQUENCE = 8, 64, 16
 WINDOW = 1 << 18
+#: Documents of a partition at least, where there are more than one.
+LEAST_DOCUMENTS = 512
 #: Longest stretch without a possible cut.
 GAP = 64
 
@@ -175,7 +177,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, size:
 def pack(df: DataFrame, vocabulary: str = "word_bpe_49k.json", end: int = 1, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset; sequences are numbered from 0 in id order."""
     docs, restore = frames.unique_ids(frames.documents(df, id_col, text_col))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a partition's end cuts its last sequence short, so small inputs get few
+    parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // LEAST_DOCUMENTS)))
     ranged = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     found = ranged.mapInArrow(lambda it: _pieces(it, vocabulary, end, size), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, __row long, offset long, __part int")
     numbered = frames.with_bases(frames.staged(found, "pieces"), "__part", "__row", "sequence_id")
