@@ -6,7 +6,9 @@ is a present null ("null") or a missing field ("missing").
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -213,15 +215,29 @@ class Resolved(Value):
         return COMPARE[op](self.source, F.lit(at))
 
 
+def _once(method: Callable) -> Callable:
+    """Build a column once for a value; each part of it is a call to the JVM."""
+
+    @wraps(method)
+    def cached(self, *args):
+        key = (method.__name__, *args)
+        if key not in self.made:
+            self.made[key] = method(self, *args)
+        return self.made[key]
+
+    return cached
+
+
 class Variant(Value):
     """A VARIANT value whose kind is looked up in each row."""
 
     def __init__(self, source: Column, kind: Column | None = None):
-        self.source = source
+        self.source, self.made = source, {}
         self.present = source.isNotNull()
         self.kind = F.schema_of_variant(source) if kind is None else kind
         self.double = F.try_variant_get(source, "$", "double")
 
+    @_once
     def has(self, kind: str) -> Guard:
         number = self.kind.isin("BIGINT", "DOUBLE", "FLOAT") | self.kind.startswith("DECIMAL")
         finite = F.abs(self.double) != float("inf")
@@ -233,12 +249,14 @@ class Variant(Value):
             return F.coalesce(self.kind.startswith("OBJECT") | self.kind.startswith("ARRAY"), F.lit(False))
         return F.coalesce(self.kind == {STRING: "STRING", BOOL: "BOOLEAN"}.get(kind, "-"), F.lit(False)) if kind in (STRING, BOOL) else False
 
+    @_once
     def _as(self, kind: str, name: str) -> Column:
         return F.when(column(self.has(kind)), F.try_variant_get(self.source, "$", name))
 
     def number(self) -> Column:
         return self._as(NUMBER, "double")
 
+    @_once
     def integer(self) -> Column | None:
         return F.when(self.kind == "BIGINT", F.try_variant_get(self.source, "$", "bigint"))
 
@@ -248,13 +266,16 @@ class Variant(Value):
     def bool(self) -> Column:
         return self._as(BOOL, "boolean")
 
+    @_once
     def container(self) -> Column:
         return F.when(column(self.has(CONTAINER)), F.to_json(self.source))
 
+    @_once
     def text(self) -> Column:
         number = F.when(self.kind == "BIGINT", self.integer().cast("string")).otherwise(double_text(self.number()))
         return F.when(column(self.has(NUMBER)), number).when(column(self.has(STRING)), self.string()).when(column(self.has(BOOL)), self.bool().cast("string")).when(column(self.has(CONTAINER)), self.container())
 
+    @_once
     def code(self) -> Column:
         out = F.when(self.source.isNull(), F.lit("m"))
         for kind in (NUMBER, STRING, BOOL, CONTAINER):
