@@ -30,7 +30,7 @@ from emberlog.llm.words import mix, powers
 
 RING = 8
 #: A chunk ends where this many low bits of the rolling hash are clear, and after LONGEST ids at the latest.
-BITS, LONGEST = 10, 8192
+BITS, LONGEST = 8, 4096
 #: Digests that a task remembers as sent, before it starts anew.
 REMEMBERED = 100_000
 
@@ -86,18 +86,17 @@ def _documents(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int) ->
         digests = [hashlib.sha256(x).digest() for x in datas]
         if len(sent) > REMEMBERED:
             sent = set()
-        fresh: list[list[dict]] = []
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            own = []
-            for d, x in zip(digests[a:b], datas[a:b]):
-                if d not in sent:
-                    sent.add(d)
-                    own.append({"digest": d, "data": x})
-            fresh.append(own)
+        new = []
+        for k, d in enumerate(digests):
+            if d not in sent:
+                sent.add(d)
+                new.append(k)
+        pairs = pa.StructArray.from_arrays([pa.array([digests[k] for k in new], pa.binary()), pa.array([datas[k] for k in new], pa.binary())], fields=list(pair))
+        fresh = pa.ListArray.from_arrays(pa.array(np.searchsorted(new, first).astype(np.int32)), pairs)
         lists = pa.array(first.astype(np.int32))
         yield frames.batch(
             schema, doc_id=batch.column(0), n_tokens=np.diff(offsets), digests=pa.ListArray.from_arrays(lists, pa.array(digests, pa.binary())), lengths=pa.ListArray.from_arrays(lists, pa.array((ends - starts).astype(np.int32))),
-            root=[merkle(digests[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())], fresh=pa.array(fresh, pa.list_(pair)),
+            root=[merkle(digests[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())], fresh=fresh,
         )
 
 
@@ -225,7 +224,9 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document of a store, from its files alone."""
     stored = spark.read.parquet(f"{path}/chunks").select("digest", "data").mapInArrow(_checked, "digest binary, crc long, n int")
     wanted = _recipes(spark, path).select("doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("at", "digest"))
-    found = wanted.join(stored, "digest").groupBy("doc_id").agg(F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("at", "digest", "crc", "n"))).alias("chunks"))
+    own = ("start", "n_tokens", "root")  # what belongs to the document goes with its first chunk alone
+    wanted = wanted.select("doc_id", "at", "digest", *[F.when(F.col("at") == 0, F.col(c)).alias(c) for c in own])
+    found = wanted.join(stored, "digest").groupBy("doc_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in own], F.sort_array(F.collect_list(F.struct("at", "digest", "crc", "n"))).alias("chunks"))
     return found.mapInArrow(_whole, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

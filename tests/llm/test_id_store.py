@@ -45,6 +45,21 @@ def test_chunks_follow_content():
     assert np.diff(id_store.chunk_ends(np.zeros(30000, np.uint32), np.array([0, 30000]))).max() <= id_store.LONGEST
 
 
+def test_shared_passages_are_stored_once():
+    rng = np.random.default_rng(1)
+    passages = [rng.integers(0, 40000, 1000) for _ in range(20)]
+    documents = [np.concatenate([rng.integers(0, 40000, 300), passages[k % 20], rng.integers(0, 40000, 300)]) for k in range(100)]
+    ids, offsets = np.concatenate(documents).astype(np.uint32), np.arange(101) * 1600
+    ends = id_store.chunk_ends(ids, offsets)
+    stored = {ids[a:b].tobytes(): b - a for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)}
+    assert len(ids) - sum(stored.values()) > 0.4 * 80 * 1000
+    body = rng.integers(0, 40000, 20000).astype(np.uint32)
+    ends = id_store.chunk_ends(body, np.array([0, len(body)]))
+    moved = id_store.chunk_ends(np.concatenate([body[:7], body]), np.array([0, len(body) + 7]))
+    assert len(ends) > 50 and len(set(ends.tolist()) & set((moved - 7).tolist())) > 0.9 * len(ends)
+    assert np.diff(id_store.chunk_ends(np.zeros(10000, np.uint32), np.array([0, 10000]))).max() <= 4096
+
+
 def test_crc_of_parts():
     data = bytes(range(256)) * 5
     cuts = [0, 1, 7, 100, 100, 1280]
