@@ -13,18 +13,19 @@ from pyspark.sql import functions as F
 
 from emberlog.llm import exact_dedup, frames, language_id, ngram_join, packing, substring_dedup
 
-#: A document whose best cosine is below this shares next to nothing with any language learnt.
-LEAST_SCORE = 0.02
+#: A document of at least JUDGED n-grams whose best cosine is below this is like no language learnt: unrelated vectors have cosines with
+#: a standard deviation of 1 / sqrt(dimensions), and this is five of them. Shorter texts have too few n-grams for the cosine to tell.
+LEAST_SCORE, JUDGED = 5 / language_id.DIMENSIONS**0.5, 60
 #: Near copies: shingles of five words, similarity of 0.8 or more.
 GRAM, PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those like no language of the documents with a known one."""
+    """Drops documents without a letter, and those of JUDGED n-grams or more like no language of the documents with a known one."""
     rows = frames.with_row_ids(docs)
     names, table = language_id.prototypes(docs)
     found = language_id.identify(rows, names, table, id_col="__uid")
-    kept = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(F.col("doc_id").alias("__kept"))
+    kept = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & ((F.col("score") >= LEAST_SCORE) | (F.col("n_grams") < JUDGED))).select(F.col("doc_id").alias("__kept"))
     return rows.join(kept, rows["__uid"] == kept["__kept"], "left_semi").drop("__uid")
 
 

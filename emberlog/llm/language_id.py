@@ -26,6 +26,8 @@ DIMENSIONS = 512
 GRAM = 3
 #: About how many labelled documents the prototypes are learnt from; all, where there are fewer.
 MAX_TRAINING = 30_000
+#: About how many of them each language has at least, or all of its documents where there are fewer.
+LEAST_TRAINING = 100
 UNKNOWN = "und"
 
 
@@ -102,6 +104,10 @@ class Encoder:
 
     def documents(self, texts: pa.Array) -> np.ndarray:
         """A unit vector for each text, zero without a letter."""
+        return self.counted(texts)[0]
+
+    def counted(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' unit vectors and their numbers of n-grams."""
         out = np.zeros((len(texts), self.dimensions), dtype=np.float32)
         found = list(self.grams(texts))
         some = [k for k, x in enumerate(found) if x is not None]
@@ -112,19 +118,24 @@ class Encoder:
             keys, counts = found[k]
             out[k] = counts.astype(np.float32) @ self.vectors[np.searchsorted(self.keys, keys)]
         norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, norms, out=out, where=norms > 0)
+        sizes = np.array([0 if x is None else x[1].sum() for x in found], dtype=np.int64)
+        return np.divide(out, norms, out=out, where=norms > 0), sizes
 
 
 def prototypes(df: DataFrame, max_training: int = MAX_TRAINING, dimensions: int = DIMENSIONS, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Languages in order and their unit prototypes, from about max_training rows of df that crc32(key) picks; rows with null text or language don't count.
 
+    Of a language of which that would pick fewer than LEAST_TRAINING, about as many are picked, or all there are.
+
     Partial bundles are added up on the executors; one vector for each language and partition comes together at the end.
     """
     rows = df.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.coalesce(F.crc32(F.reverse(F.col(f"`{key_col}`").cast("string"))), F.lit(0)).alias("key"))
     rows = rows.filter("text is not null and lang is not null")
-    total = df.filter(F.col(f"`{lang_col}`").isNotNull()).count()
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}  # languages
+    total = sum(counts.values())
     if total > max_training:
-        rows = rows.filter(F.col("key") < int((1 << 32) * max_training / total))
+        bounds = [(lang, int((1 << 32) * min(1, max(max_training / total, LEAST_TRAINING / n)))) for lang, n in counts.items()]
+        rows = rows.join(F.broadcast(df.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").filter("key < bound")
     schema = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("vector", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,9 +160,9 @@ def prototypes(df: DataFrame, max_training: int = MAX_TRAINING, dimensions: int
 
 
 def identify(df: DataFrame, names: list[str], table: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score (cosine with the best prototype, 0 to 1) of each row."""
+    """doc_id, lang_pred, score (cosine with the best prototype, 0 to 1) and n_grams of each row."""
     docs = frames.documents(df, id_col, text_col)
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_grams", pa.int64())])
     matrix = np.asarray(table, dtype=np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +170,7 @@ def identify(df: DataFrame, names: list[str], table: np.ndarray, id_col: str = "
         for batch in batches:
             for start, stop in frames.pieces(batch.column(1)):
                 rows = batch.slice(start, stop - start)
-                vectors = encoder.documents(rows.column(1))
+                vectors, sizes = encoder.counted(rows.column(1))
                 some = vectors.any(axis=1)
                 if names:
                     cosines = vectors @ matrix.T
@@ -168,9 +179,9 @@ def identify(df: DataFrame, names: list[str], table: np.ndarray, id_col: str = "
                     pred = [names[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist())]
                 else:
                     score, pred = np.zeros(len(vectors)), [UNKNOWN] * len(vectors)
-                yield frames.batch(schema, doc_id=rows.column(0), lang_pred=pred, score=score)
+                yield frames.batch(schema, doc_id=rows.column(0), lang_pred=pred, score=score, n_grams=sizes)
 
-    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, n_grams long")
 
 
 def held_out(id_col: str = "doc_id"):

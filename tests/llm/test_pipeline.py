@@ -80,6 +80,24 @@ def test_held_out_accuracy(spark):
     assert language_id.language_id(odd.limit(0)).collect() == []
 
 
+def test_texts_like_no_language_go(spark):
+    rng = random.Random(7)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    scripts = {"cyrillic": [chr(c) for c in range(0x430, 0x450)], "greek": [chr(c) for c in range(0x3B1, 0x3CA)], "han": [chr(c) for c in range(0x4E00, 0x5200)], "latin": "abcdefghijklmnopqrstuvwxyz", "hex": "0123456789abcdef"}
+    strange = [" ".join(word(letters) for _ in range(n)) for letters in scripts.values() for n in (40, 200) for _ in range(20)]
+    real = [r for r in documents() if r[1] and any(c.isalpha() for c in r[1])]
+    rows = real + [(1000 + k, t, None, "strange", len(t)) for k, t in enumerate(strange)] + [(2000, "Да.", None, "short", 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r["doc_id"] for r in corpus_pipeline.language(spark, frame, "").collect()]
+    assert set(got) == {r[0] for r in real} | {2000}
+
+
+def test_every_labelled_language_is_learnt(spark):
+    rows = [(k, "the quick brown fox", "en") for k in range(4000)] + [(4000 + k, "le chat dans la maison", "fr") for k in range(3)]
+    names, table = language_id.prototypes(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_training=50)
+    assert names == ["en", "fr"] and abs((table**2).sum() - 2) < 1e-9
+
+
 def test_max_training_is_a_bound(spark):
     rows = [(k, f"word{k} the thing", "en") for k in range(400)]
     names, table = language_id.prototypes(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_training=50)
