@@ -17,30 +17,36 @@ from emberlog.llm.words import mix
 
 ROWS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
 DDL = "key long, doc_id long, at int, n int"
+#: Rows whose key alone doesn't name the content for certain: check is the second half of a cryptographic name.
+CHECKED = pa.schema([*ROWS, ("check", pa.int64())])
+CHECKED_DDL = DDL + ", check long"
 
 
 class Rows:
     """Buffers (key, doc_id, at, n) of a task and gives them out with what is known locally: n is negative in known rows.
 
     merge: known rows whose windows follow one another become one.
+    checked: rows have a second half of their key, and are equal where both halves are.
     """
 
-    def __init__(self, merge: bool = False, limit: int = 4_000_000):
-        self.merge, self.limit, self.held, self.size = merge, limit, [], 0
+    def __init__(self, merge: bool = False, limit: int = 4_000_000, checked: bool = False):
+        self.merge, self.limit, self.checked, self.held, self.size = merge, limit, checked, [], 0
 
-    def add(self, key: np.ndarray, doc_id: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
-        self.held.append((key.view(np.int64), doc_id, at.astype(np.int32), n.astype(np.int32)))
+    def add(self, key: np.ndarray, doc_id: np.ndarray, at: np.ndarray, n: np.ndarray, check: np.ndarray | None = None) -> None:
+        columns = (key.view(np.int64), doc_id, at.astype(np.int32), n.astype(np.int32))
+        self.held.append((*columns, check.view(np.int64)) if self.checked else columns)
         self.size += len(key)
 
     def out(self, final: bool):
         if not self.size or (self.size < self.limit and not final):
             return
-        key, doc_id, at, n = (np.concatenate(x) for x in zip(*self.held))
+        key, doc_id, at, n, *check = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.size = [], 0
-        order = np.argsort(key, kind="stable")
-        by_key = key[order]
+        order = np.lexsort((check[0], key)) if check else np.argsort(key, kind="stable")
         first = np.ones(len(key), dtype=bool)
-        first[1:] = by_key[1:] != by_key[:-1]
+        first[1:] = np.diff(key[order]) != 0
+        for c in check:
+            first[1:] |= np.diff(c[order]) != 0
         single = first.copy()
         single[:-1] &= first[1:]
         alone = np.empty(len(key), dtype=bool)  # rows stay in the order of documents, which packs better
@@ -53,21 +59,23 @@ class Rows:
             start = np.ones(len(k_doc), dtype=bool)
             start[1:] = (k_doc[1:] != k_doc[:-1]) | (k_at[1:] != k_at[:-1] + k_n[:-1])
             k_doc, k_at, k_n = k_doc[start], k_at[start], np.add.reduceat(k_n, np.flatnonzero(start))
-        yield from self._rows(key[alone], doc_id[alone], at[alone], n[alone])
-        yield from self._rows(mix(mix(k_doc.view(np.uint64)) + k_at.astype(np.uint64)).view(np.int64), k_doc, k_at, -k_n)
-        speak = by_key[first & ~single]
+        yield from self._rows(key[alone], doc_id[alone], at[alone], n[alone], *[c[alone] for c in check])
+        name = mix(mix(k_doc.view(np.uint64)) + k_at.astype(np.uint64)).view(np.int64)
+        yield from self._rows(name, k_doc, k_at, -k_n, *[mix(name.view(np.uint64)).view(np.int64) for _ in check])
+        speak = order[first & ~single]
         if len(speak):
-            yield frames.batch(ROWS, key=speak, doc_id=pa.nulls(len(speak), pa.int64()), at=np.zeros(len(speak), np.int32), n=np.zeros(len(speak), np.int32))
+            none = np.zeros(len(speak), np.int32)
+            yield from self._rows(key[speak], pa.nulls(len(speak), pa.int64()), none, none, *[c[speak] for c in check])
 
-    def _rows(self, key, doc_id, at, n):
-        for start in range(0, len(key), 200_000):
-            s = slice(start, start + 200_000)
-            yield frames.batch(ROWS, key=key[s], doc_id=doc_id[s], at=at[s], n=n[s])
+    def _rows(self, *columns):
+        schema = CHECKED if self.checked else ROWS
+        for start in range(0, len(columns[0]), 200_000):
+            yield frames.batch(schema, **{f.name: c[start : start + 200_000] for f, c in zip(schema, columns)})
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """doc_id, at and n of the rows whose key occurs more than once."""
-    counted = rows.withColumn("__count", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    """doc_id, at and n of the rows whose key (and check, if they have one) occurs more than once."""
+    counted = rows.withColumn("__count", F.count(F.lit(1)).over(Window.partitionBy(*[c for c in ("key", "check") if c in rows.columns])))
     return counted.filter("doc_id is not null and (n < 0 or __count > 1)").select("doc_id", "at", F.abs("n").alias("n"))
 
 

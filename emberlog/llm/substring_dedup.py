@@ -7,8 +7,9 @@ of words that its making depended on: wherever that span occurs, the symbol occu
 symbols, of those whose span it holds whole, at each of its occurrences. Of these at the highest level that has any, the one with the
 smallest name is the window's representative.
 
-Only windows whose representative occurs more than once (shared high-level symbols) can repeat. These windows are verified by the name
-of their whole word sequence. A word that a repeated window covers is removed. Windows are judged on the input.
+Only windows whose representative occurs more than once (shared high-level symbols) can repeat. Names of symbols are 64 bits wide, so two
+contents may share one; that adds candidates and never loses any. These windows are verified by the SHA-256 (128 bits of it) of their word
+sequence. A word that a repeated window covers is removed. Windows are judged on the input.
 
 Null and empty texts have no words. Texts with fewer words than a window are left alone. Very long texts are handled whole. Rows with a
 null or repeated id are documents in the order of (id, text), so equal rows repeat each other. An empty table gives an empty result.
@@ -189,21 +190,34 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, rounds: int) -> Ite
     yield from rows.out(True)
 
 
+def _joined(body: np.ndarray, begins: np.ndarray, ends: np.ndarray, stays: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The words that stay, each with a space behind it, and the place of each word (and of the end) in that."""
+    size = ends - begins if stays is None else np.where(stays, ends - begins, 0)
+    total = np.zeros(len(begins) + 1, dtype=np.int64)
+    np.cumsum(size + 1 if stays is None else np.where(stays, size + 1, 0), out=total[1:])
+    out = np.full(total[-1], 0x20, dtype=np.uint8)
+    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(total[:-1], size) + inner] = body[np.repeat(begins, size) + inner]
+    return out, total
+
+
 def _named(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Names of candidate windows from rows of doc_id, text, and lists of first windows and their numbers."""
-    rows = repeats.Rows(merge=True)
+    rows = repeats.Rows(merge=True, checked=True)
     for batch in batches:
         for start, stop in frames.pieces(batch.column(1)):
             part = batch.slice(start, stop - start)
             body, offsets = frames.raw(part.column(1))
             begins, ends, bounds = word_spans(body, offsets)
-            prefix = prefix_hash(word_hashes(body, begins, ends))
+            joined, place = _joined(body, begins, ends)
             owner = np.repeat(np.arange(len(part)), np.diff(np.asarray(part.column(2).offsets, dtype=np.int64)))
             at, n = part.column(2).flatten().to_numpy(), part.column(3).flatten().to_numpy()
             first = np.repeat(at + bounds[owner], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             owner = np.repeat(owner, n)
-            key = span_hash(prefix, first, first + window, powers(len(prefix), _INVERSE))
-            rows.add(key, part.column(0).to_numpy()[owner], first - bounds[owner], np.ones(len(first), np.int32))
+            view, sha = memoryview(joined), hashlib.sha256
+            names = b"".join([sha(view[a:b]).digest()[:16] for a, b in zip(place[first].tolist(), place[first + window].tolist())])
+            halves = np.frombuffer(names, dtype="<u8").reshape(-1, 2)
+            rows.add(halves[:, 0].copy(), part.column(0).to_numpy()[owner], first - bounds[owner], np.ones(len(first), np.int32), halves[:, 1].copy())
         yield from rows.out(False)
     yield from rows.out(True)
 
@@ -221,16 +235,7 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
                 if at.is_valid and len(at):
                     first = at.values.to_numpy()
                     gone[bounds[k] : bounds[k + 1]] = repeats.covered(first, first + part.column(3)[k].values.to_numpy() - 1 + window, bounds[k + 1] - bounds[k])
-            # each kept word and a space behind it
-            stays = ~gone
-            length = np.where(stays, ends - begins + 1, 0)
-            total = np.concatenate([[0], np.cumsum(length)])
-            joined = np.full(total[-1], 0x20, dtype=np.uint8)
-            place = np.repeat(total[:-1] - begins, np.where(stays, ends - begins, 0))
-            source = np.repeat(begins, np.where(stays, ends - begins, 0))
-            inner = np.arange(len(source)) - np.repeat(np.cumsum(np.where(stays, ends - begins, 0)) - np.where(stays, ends - begins, 0), np.where(stays, ends - begins, 0))
-            source = source + inner
-            joined[source + place] = body[source]
+            joined, total = _joined(body, begins, ends, ~gone)
             cuts = total[bounds]
             n_words, removed = np.diff(bounds), np.add.reduceat(np.append(gone, False), bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
             removed = np.where(n_words > 0, removed, 0)
@@ -256,7 +261,7 @@ def _marked(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = docs.filter("doc_id is not null").repartition(parts, "doc_id")  # the joins would put this filter below one use of the exchange
     candidates = repeats.by_document(repeats.repeated(docs.mapInArrow(lambda it: _anchors(it, window, rounds), repeats.DDL)), "at", "n")
-    named = placed.join(candidates, "doc_id").select("doc_id", "text", "at", "n").mapInArrow(lambda it: _named(it, window), repeats.DDL)
+    named = placed.join(candidates, "doc_id").select("doc_id", "text", "at", "n").mapInArrow(lambda it: _named(it, window), repeats.CHECKED_DDL)
     found = repeats.by_document(repeats.repeated(named), "at", "n")
     return placed.join(found, "doc_id", "left").select("doc_id", "text", "at", "n")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: Odd multiplier of the polynomial hash and the increments of the finalisers; any odd values do.
@@ -19,10 +21,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
-#: A random value for each byte, so that texts with related bytes have unrelated hashes.
-BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _P)
-
-
 def _inverse(a: int) -> int:
     return pow(a, -1, 1 << 64)
 
@@ -72,8 +70,35 @@ def lower_ascii(body: np.ndarray) -> np.ndarray:
     return np.where((body >= 65) & (body <= 90), body + np.uint8(32), body)
 
 
-def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(BYTE_VALUES[body]), starts, ends)
+#: Keys of the two lanes of a word's 128-bit name; any values do.
+_LANES = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+#: Longer words go through a cryptographic hash one by one.
+LONG_WORD = 512
+
+
+def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A lane (0 or 1) of each word's 128-bit name.
+
+    Eight bytes at a time pass through a bijection that is no polynomial of them, so no algebra of the bytes gives two words one name; the
+    names of words of up to eight bytes and one length differ for certain.
+    """
+    length = ends - starts
+    padded = np.concatenate([body, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(body) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    out = mix(length.astype(np.uint64) + _LANES[lane])
+    own, at = np.arange(len(starts)), 0
+    long = np.flatnonzero(length > LONG_WORD)
+    if len(long):
+        own = np.flatnonzero(length <= LONG_WORD)
+        key = int(_LANES[lane]).to_bytes(8, "little")
+        out[long] = [int.from_bytes(hashlib.blake2b(body[a:b], digest_size=8, key=key).digest(), "little") for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+    while len(own):
+        value = eights[starts[own] + at] & _MASKS[np.minimum(length[own] - at, 8)]
+        out[own] = mix((out[own] ^ value) + _LANES[1 - lane])
+        at += 8
+        own = own[length[own] > at]
+    return out
 
 
 def owners(offsets: np.ndarray) -> np.ndarray:

@@ -63,3 +63,13 @@ def test_texts_and_odd_rows(spark):
     rows = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["text"]) for r in substring_dedup.deduplicated(odd).collect())
     assert rows == [(0, 0, 0, ""), (1, 50, 50, ""), (1, 50, 50, ""), (2, 2, 0, "only here")]
     assert substring_dedup.removed_words(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_words_that_an_algebraic_hash_confuses(spark):
+    """The word of 2 ** 10 letters whose letters count the bits of their place, and its complement, agree in any polynomial of an odd base."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1 << 10))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rest = [f"x{k}" for k in range(34)]
+    texts = {0: " ".join([one, *rest]), 1: " ".join([other, *rest]), 2: " ".join([*rest, "y"]), 3: " ".join(["z", *rest, "y"])}
+    assert run(spark, texts, 35) == brute.substring(texts, 35)
+    assert [run(spark, texts, 35)[d][1] for d in range(4)] == [0, 0, 35, 35]
