@@ -1,64 +1,78 @@
 """N-gram Jaccard join by vertical partitioning (6): documents whose sets of word shingles are alike, as components of links.
 
-Two documents link when 100 * |A & B| >= percent * |A | B|. The global order of the shingles is that of their 64-bit hashes, cut into
-F fragments, so each document's set is cut into segments. Links are found in four steps.
+Two documents link when 100 * |A & B| >= percent * |A | B|. The global order of the shingles is that of their names, cut into F
+fragments, so each document's set is cut into segments. Links are found in five steps.
 
-1. Documents with one set are a class; only its smallest document goes on.
+1. Documents with one word sequence (by its SHA-256) are a class; only its smallest document goes on.
 2. Linked sets differ in k elements at most, which lie in k fragments at most. F is 1.5 (k + 1) or more, so linked documents have many
    equal segments, at least (their segments - k). F and k belong to a level of set sizes; a document takes part at its own level and at
    the levels of the smaller partners that it may have. Where many of its segments are empty, it takes part with more fragments too.
    Segments that occur once are dropped, then documents with too few others at a level, then again.
-3. What remains are near copies. Documents that share segments, over some others, are a cluster; a cluster is cut into blocks of about
-   BLOCK documents, and each pair of blocks meets in one task.
-4. There each fragment's partial overlaps are counted apart, as a product of the fragment's incidence matrix with itself, and summed
-   per pair. Pairs that link give edges; of the edges of a task a spanning forest suffices.
-
-No candidate is capped: a cluster of any size is compared whole, block by block. Null and empty texts, and texts without words, have
-empty sets and link with nothing. Very long texts are handled whole. Rows with a null or repeated id are documents of their own in the
-order of (id, text). An empty table gives an empty result. Other columns play no part.
+3. What remains are near copies. Documents that share segments, over some others, are a cluster, so all links lie within clusters. Each
+   document has one edge for each of its segments at most, however large the cluster is.
+4. Each cluster's head is the document with the most popular segments. The partial overlaps of each document with its head are counted
+   for each of PARTS fragments apart and summed per pair. Documents that link with the head are one component and need no other pair among
+   them.
+5. The others can only add links between themselves, and with those documents that the triangle inequality over the head doesn't rule
+   out. Those pairs meet in blocks of about BLOCK documents, where partial overlaps are again counted fragment by fragment; a task gives a
+   spanning forest of what it connects.
+
+A shingle's name has 128 bits, in two lanes of a keyed hash; overlaps are counted in both. No candidate is capped. Null and empty texts,
+and texts without words, have empty sets and link with nothing. Very long texts are handled whole. Rows with a null or repeated id are
+documents of their own in the order of (id, text). An empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm import components, frames
-from emberlog.llm.words import lower_ascii, mix, owners, prefix_hash, span_hash, word_hashes, word_spans
+from emberlog.llm.words import joined_words, lower_ascii, mix, owners, prefix_hash, span_hash, word_hashes, word_spans
 
 GRAM, PERCENT = 4, 85
 #: Ratio of the sizes of a level.
 RATIO = 1.384
 #: Fragments for each element in which linked sets may differ.
 SLACK = 1.5
-BLOCK = 200
-#: Fragments whose partial overlaps step 4 counts apart.
+#: Documents of a block, and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 400, 1 << 20
+#: Fragments whose partial overlaps steps 4 and 5 count apart.
 PARTS = 8
 
 _HALF = np.uint64(32)
 
 
 def shingle_sets(texts: pa.Array, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, one after another, and the n + 1 offsets of the texts."""
+    """First lanes of the sorted distinct shingles of each text, one after another, and the n + 1 offsets of the texts."""
+    (hashes,), bounds = shingle_names(texts, gram, 1)
+    return hashes, bounds
+
+
+def shingle_names(texts: pa.Array, gram: int, lanes: int = 2) -> tuple[list[np.ndarray], np.ndarray]:
+    """Lanes of the sorted distinct shingles of each text, and the n + 1 offsets of the texts."""
     body, offsets = frames.raw(texts)
     starts, ends, bounds = word_spans(body, offsets)
     count = np.diff(bounds)
-    prefix = prefix_hash(word_hashes(lower_ascii(body), starts, ends))
     shingles = np.where(count >= gram, count - gram + 1, np.minimum(count, 1))
     owner = np.repeat(np.arange(len(count)), shingles)
     first = np.arange(shingles.sum()) - np.repeat(np.cumsum(shingles) - shingles, shingles) + bounds[owner]
     last = first + np.minimum(count[owner], gram)
-    hashes = span_hash(prefix, first, last)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    new = np.ones(len(hashes), dtype=bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    hashes, owner = hashes[new], owner[new]
-    return hashes, np.searchsorted(owner, np.arange(len(count) + 1))
+    low = lower_ascii(body)
+    names = [span_hash(prefix_hash(word_hashes(low, starts, ends, lane)), first, last) for lane in range(lanes)]
+    order = np.lexsort((*names[::-1], owner))
+    names, owner = [x[order] for x in names], owner[order]
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = owner[1:] != owner[:-1]
+    for x in names:
+        new[1:] |= x[1:] != x[:-1]
+    owner = owner[new]
+    return [x[new] for x in names], np.searchsorted(owner, np.arange(len(count) + 1))
 
 
 def differing(size: int | np.ndarray, percent: int):
@@ -128,16 +142,18 @@ def segment_keys(hashes: np.ndarray, bounds: np.ndarray, levels: Levels) -> tupl
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+    """doc_id, the size of its set, and the SHA-256 of its words joined by spaces."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.binary())])
     for batch in batches:
         for start, stop in frames.pieces(batch.column(1)):
-            hashes, bounds = shingle_sets(batch.column(1).slice(start, stop - start), gram)
-            sums = []
-            for salt in (1, 2):
-                total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-                np.cumsum(mix(hashes + np.uint64(salt)), out=total[1:])
-                sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
-            yield frames.batch(schema, doc_id=batch.column(0).slice(start, stop - start), n=np.diff(bounds), low=sums[0], high=sums[1])
+            texts = batch.column(1).slice(start, stop - start)
+            _, bounds = shingle_sets(texts, gram)
+            body, offsets = frames.raw(texts)
+            begins, ends, words = word_spans(body, offsets)
+            joined, total = joined_words(lower_ascii(body), begins, ends)
+            view, cuts = memoryview(joined), total[words].tolist()
+            names = [hashlib.sha256(view[a:b]).digest() for a, b in zip(cuts[:-1], cuts[1:])]
+            yield frames.batch(schema, doc_id=batch.column(0).slice(start, stop - start), n=np.diff(bounds), name=pa.array(names, pa.binary()))
 
 
 SEGMENTS = pa.schema([("key", pa.int64()), ("segment", pa.int64()), ("doc_id", pa.int64()), ("kind", pa.int32()), ("need", pa.int32())])
@@ -194,37 +210,48 @@ def _pruned(rows: DataFrame) -> DataFrame:
     return rows.join(enough, ["doc_id", "kind"], "left_semi")
 
 
+SETS_DDL = "doc_id long, cluster long, n long, first array<array<long>>, second array<array<long>>"
+_NESTED = pa.list_(pa.list_(pa.int64()))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
-    """cluster, doc_id, blocks and the shingle hashes from rows of doc_id, text, cluster, blocks."""
-    schema = pa.schema([("doc_id", pa.int64()), ("cluster", pa.int64()), ("blocks", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    """doc_id, cluster, size of the set, and both lanes of its shingles in PARTS fragments of the global order, from rows of doc_id, text, cluster."""
+    schema = pa.schema([("doc_id", pa.int64()), ("cluster", pa.int64()), ("n", pa.int64()), ("first", _NESTED), ("second", _NESTED)])
     for batch in batches:
         for start, stop in frames.pieces(batch.column(1)):
             part = batch.slice(start, stop - start)
-            hashes, bounds = shingle_sets(part.column(1), gram)
-            yield frames.batch(schema, doc_id=part.column(0), cluster=part.column(2), blocks=part.column(3), hashes=pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64))))
+            lanes, bounds = shingle_names(part.column(1), gram)
+            fragment = (lanes[0] >> _HALF) * np.uint64(PARTS) >> _HALF
+            cuts = np.searchsorted(owners(bounds) * PARTS + fragment.astype(np.int64), np.arange(len(part) * PARTS + 1))
+            outer = pa.array(np.arange(len(part) + 1, dtype=np.int32) * PARTS)
+            nested = [pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x.view(np.int64)))) for x in lanes]
+            yield frames.batch(schema, doc_id=part.column(0), cluster=part.column(2), n=np.diff(bounds), first=nested[0], second=nested[1])
 
 
-def overlaps(hashes: np.ndarray, bounds: np.ndarray, parts: int = PARTS) -> np.ndarray:
-    """Common elements of each pair of sets (sorted hashes, one after another): partial overlaps of each fragment, summed."""
-    n = len(bounds) - 1
-    owner = owners(bounds)
+def overlaps(lanes: list[np.ndarray], cuts: np.ndarray, parts: int = PARTS) -> np.ndarray:
+    """Common elements of each pair of sets, which lie one after another, each cut into parts: partial overlaps of each part, summed."""
+    n = (len(cuts) - 1) // parts
     total = np.zeros((n, n), dtype=np.float32)
-    fragment = ((hashes >> _HALF) * np.uint64(parts) >> _HALF).astype(np.int64)
+    owner = owners(cuts)
     for f in range(parts):
-        own = np.flatnonzero(fragment == f)
-        values, column, often = np.unique(hashes[own], return_inverse=True, return_counts=True)
-        rank = np.cumsum(often > 1) - 1
-        keep = often[column] > 1
-        rows, columns = owner[own][keep], rank[column[keep]]
-        width = int(rank[-1]) + 1 if len(rank) else 0
+        own = np.flatnonzero(owner % parts == f)
+        order = own[np.lexsort([x[own] for x in lanes[::-1]])]
+        new = np.ones(len(order), dtype=bool)
+        if len(order):
+            new[1:] = False
+        for x in lanes:
+            new[1:] |= x[order][1:] != x[order][:-1]
+        column = np.cumsum(new) - 1
+        often = np.bincount(column) > 1 if len(order) else np.zeros(0, dtype=bool)
+        rank, keep = np.cumsum(often) - 1, often[column]
+        rows, columns = owner[order][keep] // parts, rank[column[keep]]
+        width = int(often.sum())
         for start in range(0, width, 8192):  # columns at a time, for the matrix to stay small
             s = (columns >= start) & (columns < start + 8192)
             matrix = np.zeros((n, min(8192, width - start)), dtype=np.float32)
             matrix[rows[s], columns[s] - start] = 1
             total += matrix @ matrix.T
-    total = np.rint(total).astype(np.int64)
-    np.fill_diagonal(total, np.diff(bounds))
-    return total
+    return np.rint(total).astype(np.int64)
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -249,56 +276,80 @@ EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _links(table: pa.Table, percent: int) -> pa.Table:
-    """Edges among the documents of a pair of blocks (doc_id, own block, hashes)."""
+    """Edges that connect the components (label) of which documents of a pair of blocks link; rows of doc_id, label, n, first, second."""
     table = table.combine_chunks()
-    ids = table.column("doc_id").to_numpy()
-    lists = table.column("hashes").chunk(0) if table.num_rows else pa.array([], pa.list_(pa.int64()))
-    bounds = np.asarray(lists.offsets, dtype=np.int64)
-    common = overlaps(lists.flatten().to_numpy().view(np.uint64), bounds - bounds[0])
-    sizes = np.diff(bounds)
-    union = sizes[:, None] + sizes[None, :] - common
-    a, b = np.nonzero(np.triu((100 * common >= percent * union) & (common > 0), 1))
-    chosen = forest(a, b, len(ids))
-    return pa.table({"a": pa.array(ids[[x for x, _ in chosen]] if chosen else [], pa.int64()), "b": pa.array(ids[[y for _, y in chosen]] if chosen else [], pa.int64())}, schema=EDGES)
+    flat = [table.column(c).chunk(0).flatten() if table.num_rows else pa.array([], pa.list_(pa.int64())) for c in ("first", "second")]
+    cuts = np.asarray(flat[0].offsets, dtype=np.int64) if table.num_rows else np.zeros(1, np.int64)
+    common = overlaps([x.flatten().to_numpy().view(np.uint64) for x in flat], cuts - cuts[0])
+    size, label = table.column("n").to_numpy(), table.column("label").to_numpy()
+    union = size[:, None] + size[None, :] - common
+    a, b = np.nonzero(np.triu((100 * common >= percent * union) & (common > 0) & (label[:, None] != label[None, :]), 1))
+    names, codes = np.unique(label, return_inverse=True)
+    chosen = np.array(forest(codes[a], codes[b], len(names)), dtype=np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(names[chosen[:, 0]], pa.int64()), "b": pa.array(names[chosen[:, 1]], pa.int64())}, schema=EDGES)
 
 
 def classes(df: DataFrame, gram: int = GRAM) -> DataFrame:
-    """doc_id, n (set size) and representative (smallest document with the same set; itself where the set is empty) of docs (doc_id, text)."""
-    prints = frames.staged(df.mapInArrow(lambda it: _fingerprints(it, gram), "doc_id long, n long, low long, high long"), "fingerprints")
-    heads = prints.filter("n > 0").groupBy("n", "low", "high").agg(F.min("doc_id").alias("representative"))
+    """doc_id, n (set size) and representative (smallest document with the same words; itself where there are none) of docs (doc_id, text)."""
+    prints = frames.staged(df.mapInArrow(lambda it: _fingerprints(it, gram), "doc_id long, n long, name binary"), "fingerprints")
+    heads = prints.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("representative"))
     heads = frames.staged(heads, "heads")  # both sides of the join then come from exchanges, whose skewed partitions are split
-    found = prints.join(heads, ["n", "low", "high"], "left")
+    found = prints.join(heads, "name", "left")
     return found.select("doc_id", "n", F.coalesce("representative", "doc_id").alias("representative"))
 
 
-def links(docs: DataFrame, heads: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """Edges (a, b) that connect the linked documents among heads (doc_id) of docs (doc_id, text)."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def clusters(docs: DataFrame, heads: DataFrame, gram: int, percent: int) -> DataFrame:
+    """doc_id, cluster and weight (how often its shared segments occur) of the near copies among heads (doc_id) of docs (doc_id, text)."""
     made = docs.mapInArrow(lambda it: _segments(it, gram, percent), "key long, segment long, doc_id long, kind int, need int")
-    often = F.count(F.lit(1)).over(_by("key"))
+    often = F.count(F.lit(1)).over(Window.partitionBy("key"))
     shared = made.withColumn("__n", often).filter("doc_id is not null and (segment is not null or __n > 1)")
     shared = shared.select(F.coalesce("segment", "key").alias("segment"), "doc_id", "kind", "need")
     rows = frames.staged(shared.join(heads, "doc_id", "left_semi"), "segments")
     for _ in range(2):
         rows = frames.staged(_pruned(_shared(rows)), "segments")
-    rows = _shared(rows)
-    leaders = rows.groupBy("segment").agg(F.min("doc_id").alias("leader"))
-    edges = rows.join(leaders, "segment").filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
-    cluster = components.components(edges)
-    sizes = cluster.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    member = frames.staged(cluster.join(sizes, "label").select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"), "blocks"), "clusters")
-    sets = docs.join(member, "doc_id").select("doc_id", "text", "cluster", "blocks").mapInArrow(lambda it: _sets(it, gram), "doc_id long, cluster long, blocks long, hashes array<long>")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    met = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other"))
-    found = met.repartition(parts, "cluster", "one", "two").groupBy("cluster", "one", "two")
-    return found.applyInArrow(lambda table: _links(table.select(["doc_id", "hashes"]), percent), "a long, b long")
-
-
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
+    often = frames.staged(rows.groupBy("segment").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("often")).filter("often > 1"), "leaders")
+    led = rows.join(often, "segment").groupBy("doc_id", "leader").agg(F.sum("often").alias("weight"))
+    led = frames.staged(led, "led")  # a document and one leader of its segments
+    label = components.components(led.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
+    weight = led.groupBy("doc_id").agg(F.sum("weight").alias("weight"))
+    return weight.join(label, weight["doc_id"] == label["node"]).select("doc_id", F.col("label").alias("cluster"), "weight")
+
+
+def links(docs: DataFrame, heads: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+    """Edges (a, b) that connect the linked documents among heads (doc_id) of docs (doc_id, text)."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    member = frames.staged(clusters(docs, heads, gram, percent), "clusters")
+    made = docs.join(member, "doc_id").select("doc_id", "text", "cluster").mapInArrow(lambda it: _sets(it, gram), SETS_DDL)
+    sets = frames.staged(made, "sets")
+    # step 4: partial overlaps with the cluster's head, fragment by fragment
+    head = member.groupBy("cluster").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("doc_id"))
+    heads_sets = frames.staged(sets.join(head, ["cluster", "doc_id"], "left_semi"), "head_sets")
+    fragments = lambda df: df.select("cluster", "doc_id", "n", F.posexplode(F.arrays_zip("first", "second")).alias("fragment", "part")).select("cluster", "doc_id", "n", "fragment", "part.first", "part.second")
+    left, right = fragments(sets), fragments(heads_sets).select("cluster", "fragment", F.col("doc_id").alias("head"), F.col("n").alias("head_n"), F.col("first").alias("head_first"), F.col("second").alias("head_second"))
+    partial = F.least(F.size(F.array_intersect("first", "head_first")), F.size(F.array_intersect("second", "head_second")))
+    pairs = left.join(right, ["cluster", "fragment"]).select("cluster", "doc_id", "n", "head", "head_n", partial.alias("common"))
+    summed = pairs.groupBy("cluster", "doc_id", "n", "head", "head_n").agg(F.sum("common").alias("common"))
+    union = F.col("n") + F.col("head_n") - F.col("common")
+    near = frames.staged(summed.select("cluster", "doc_id", "n", "head", (100 * F.col("common") >= percent * union).alias("linked"), (union - F.col("common")).alias("distance")), "near")
+    # step 5: linked sets differ in (100 - percent) / (100 + percent) of their sizes at most, and distances to the head as much at most;
+    # times 100 + percent all is in whole numbers
+    span, away = (100 - percent) * F.col("n"), (100 + percent) * F.col("distance")
+    rest = near.filter(~F.col("linked")).groupBy("cluster").agg(F.count(F.lit(1)).alias("rest"), F.sum("n").alias("rest_n"), F.min(away - span).alias("nearest"))
+    met = near.join(rest, "cluster").filter(~F.col("linked") | (away + span >= F.col("nearest")))
+    blocks = lambda count, size: F.greatest(F.ceil(count / BLOCK), F.ceil(size / BLOCK_SHINGLES))
+    sizes = met.groupBy("cluster").agg(
+        F.max(blocks(F.col("rest"), F.col("rest_n"))).alias("rest_blocks"),
+        blocks(F.count_if("linked"), F.coalesce(F.sum(F.when(F.col("linked"), F.col("n"))), F.lit(0))).alias("linked_blocks"),
+    )
+    met = met.select("doc_id", "cluster", "linked", F.when(F.col("linked"), F.col("head")).otherwise(F.col("doc_id")).alias("label")).join(sizes, "cluster")
+    own = F.when(F.col("linked"), F.col("rest_blocks") + F.pmod(F.xxhash64("doc_id"), F.col("linked_blocks"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("rest_blocks")))
+    met = frames.staged(met.withColumn("own", own), "met")
+    last = F.when(F.col("linked"), F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("linked_blocks")) - 1
+    carried = sets.select("doc_id", "n", "first", "second").join(met, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    carried = carried.select("cluster", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "doc_id", "label", "n", "first", "second")
+    columns = ["doc_id", "label", "n", "first", "second"]
+    found = carried.repartition(parts, "cluster", "one", "two").groupBy("cluster", "one", "two").applyInArrow(lambda table: _links(table.select(columns), percent), "a long, b long")
+    return near.filter("linked and doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).unionByName(found)
 
 
 def near_components(df: DataFrame, gram: int = GRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm import frames, repeats
-from emberlog.llm.words import mix, owners, powers, prefix_hash, span_hash, word_hashes, word_spans
+from emberlog.llm.words import joined_words, mix, owners, powers, prefix_hash, span_hash, word_hashes, word_spans
 
 WINDOW = 35
 ROUNDS = 3
@@ -190,17 +190,6 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, rounds: int) -> Ite
     yield from rows.out(True)
 
 
-def _joined(body: np.ndarray, begins: np.ndarray, ends: np.ndarray, stays: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The words that stay, each with a space behind it, and the place of each word (and of the end) in that."""
-    size = ends - begins if stays is None else np.where(stays, ends - begins, 0)
-    total = np.zeros(len(begins) + 1, dtype=np.int64)
-    np.cumsum(size + 1 if stays is None else np.where(stays, size + 1, 0), out=total[1:])
-    out = np.full(total[-1], 0x20, dtype=np.uint8)
-    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    out[np.repeat(total[:-1], size) + inner] = body[np.repeat(begins, size) + inner]
-    return out, total
-
-
 def _named(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Names of candidate windows from rows of doc_id, text, and lists of first windows and their numbers."""
     rows = repeats.Rows(merge=True, checked=True)
@@ -209,7 +198,7 @@ def _named(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
             part = batch.slice(start, stop - start)
             body, offsets = frames.raw(part.column(1))
             begins, ends, bounds = word_spans(body, offsets)
-            joined, place = _joined(body, begins, ends)
+            joined, place = joined_words(body, begins, ends)
             owner = np.repeat(np.arange(len(part)), np.diff(np.asarray(part.column(2).offsets, dtype=np.int64)))
             at, n = part.column(2).flatten().to_numpy(), part.column(3).flatten().to_numpy()
             first = np.repeat(at + bounds[owner], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -235,7 +224,7 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
                 if at.is_valid and len(at):
                     first = at.values.to_numpy()
                     gone[bounds[k] : bounds[k + 1]] = repeats.covered(first, first + part.column(3)[k].values.to_numpy() - 1 + window, bounds[k + 1] - bounds[k])
-            joined, total = _joined(body, begins, ends, ~gone)
+            joined, total = joined_words(body, begins, ends, ~gone)
             cuts = total[bounds]
             n_words, removed = np.diff(bounds), np.add.reduceat(np.append(gone, False), bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
             removed = np.where(n_words > 0, removed, 0)

@@ -101,6 +101,17 @@ def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: in
     return out
 
 
+def joined_words(body: np.ndarray, begins: np.ndarray, ends: np.ndarray, stays: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The words that stay, each with a space behind it, and the place of each word (and of the end) in that."""
+    size = ends - begins if stays is None else np.where(stays, ends - begins, 0)
+    total = np.zeros(len(begins) + 1, dtype=np.int64)
+    np.cumsum(size + 1 if stays is None else np.where(stays, size + 1, 0), out=total[1:])
+    out = np.full(total[-1], 0x20, dtype=np.uint8)
+    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(total[:-1], size) + inner] = body[np.repeat(begins, size) + inner]
+    return out, total
+
+
 def owners(offsets: np.ndarray) -> np.ndarray:
     """The text that each item belongs to."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))

@@ -77,18 +77,66 @@ def test_linked_sets_share_enough_segments(percent):
 def test_overlaps():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, 30).astype(np.uint64) << np.uint64(58)) for _ in range(7)]
-    got = ngram_join.overlaps(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
-    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(7) for j in range(7))
+    parts = 4
+    fragments = [x for s in sets for x in np.split(s, np.searchsorted(s, (np.arange(1, parts) << 62).astype(np.uint64)))]
+    lane = np.concatenate(sets)
+    got = ngram_join.overlaps([lane, lane + np.uint64(1)], np.concatenate([[0], np.cumsum([len(f) for f in fragments])]), parts)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(7) for j in range(7) if i != j)
+    alike = ngram_join.overlaps([np.zeros(2, np.uint64), np.arange(2, dtype=np.uint64)], np.array([0, 1, 2]), 1)
+    assert alike[0, 1] == 0  # one lane alone doesn't make shingles equal
     hashes, bounds = ngram_join.shingle_sets(pa.array(["a b c d e", "", "A B"]), 4)
     assert np.diff(bounds).tolist() == [2, 0, 1]
 
 
+def test_words_that_an_algebraic_hash_confuses(spark):
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1 << 10))
+    texts = {0: one + " x y z", 1: one.translate(str.maketrans("ab", "ba")) + " x y z", 2: one.upper() + "\tx y z"}
+    assert run(spark, texts) == brute.components(texts) == {0: (1, 0), 1: (1, 1), 2: (1, 0)}
+
+
+def test_a_cluster_around_a_text_and_chains_away_from_it(spark, monkeypatch):
+    """Copies at growing distances from one text: some link with it, some only with each other, some with one that links with it."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+    texts = {}
+    for d in range(150):
+        w = list(base)
+        for k in range(rng.randint(0, 8)):
+            w[rng.randrange(150)] = f"new{rng.randint(0, 30)}"
+        texts[d] = " ".join(w)
+    chain = list(base)
+    for d in range(150, 190):
+        chain[(d * 4) % 150] = f"step{d}"
+        texts[d] = " ".join(chain)
+    texts[190] = " ".join(f"long{k % 9000}" for k in range(60_000))
+    texts[191] = texts[190] + " end"
+    want = brute.components(texts)
+    assert 3 < len({c for _, c in want.values()}) < 100
+    assert run(spark, texts) == want
+
+
 def test_components_of_chains(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 100)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 200: 100}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    nodes = rng.sample(range(-500, 500), 200)
+    edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(130)]
+    parent = {}
+    for a, b in edges:
+        find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])  # noqa: B023, E731
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in linked}
+
+
 def test_odd_rows(spark):
     text = "one two three four five six"
     odd = spark.createDataFrame([(1, text, 1), (1, text, 1), (None, None, 2), (2, "x", 3)], "doc_id long, text string, cluster int")
