@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that a Python worker expands at once. Bounds the numpy scratch space of a task.
 CHUNK_BYTES = 1 << 21
@@ -57,7 +58,7 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns doc_id and text alone (null text: empty), whatever else df carries."""
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    return df.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
 
 
 def unique_ids(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -79,34 +80,58 @@ def unique_ids(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFr
     return numbered.select(F.col("uid").alias("doc_id"), "text"), restore
 
 
-def with_row_ids(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """df with a column __uid that is unique and not null: the id itself where ids are so, else numbers in the order of (id, all columns)."""
-    key = F.col(f"`{id_col}`").cast("long")
-    odd = df.groupBy(key.alias("__uid")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1 or __uid is null").limit(1)
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores before it as make it differ from df's columns in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def _sortable(field: T.StructField) -> Column:
+    """The column itself, or its JSON text where its type has no order."""
+    column = F.col(quoted(field.name))
+    ordered = lambda t: all(map(ordered, [f.dataType for f in t])) if isinstance(t, T.StructType) else ordered(t.elementType) if isinstance(t, T.ArrayType) else not isinstance(t, (T.MapType, T.VariantType, T.CalendarIntervalType))
+    return column if ordered(field.dataType) else F.to_json(F.struct(column))
+
+
+def with_row_ids(df: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """df with one more column that is unique and not null, and its name: the id itself where ids are so, else numbers in the order of (id, all columns)."""
+    key = F.col(quoted(id_col)).cast("long")
+    (uid,) = free_names(df, "__uid")
+    odd = df.groupBy(key.alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").limit(1)
     if not odd.take(1):
-        return df.withColumn("__uid", key)
-    return staged(dense_numbers(df, [key.asc_nulls_first(), *[F.col(f"`{c}`") for c in df.columns if c != id_col]], "__uid"), "rows")
+        return df.withColumn(uid, key), uid
+    return staged(dense_numbers(df, [key.asc_nulls_first(), *[_sortable(f) for f in df.schema if f.name != id_col]], uid), "rows"), uid
 
 
 def dense_numbers(df: DataFrame, order: list, name: str) -> DataFrame:
     """Number rows from 0 in the given order: a range partitioning, then each partition's base from the partitions' counts."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part, row = free_names(df, "__part", "__row")
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    local = staged(ranged.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__row")), "ranged")
-    return with_bases(local, "__part", "__row", name)
+    local = staged(ranged.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(row)), "ranged")
+    return with_bases(local, part, row, name)
 
 
 def with_bases(df: DataFrame, part: str, row: str, name: str) -> DataFrame:
     """name = row + the number of rows in all parts before; part is a partition number, so there are few of them."""
-    counts = df.groupBy(part).agg((F.max(row) + 1).alias("__n"))
+    counts = df.groupBy(part).agg((F.max(row) + 1).alias("rows"))
     total = 0
     bases = []
     for r in counts.orderBy(part).toLocalIterator():  # one row for each partition
         bases.append((r[0], total))
-        total += r["__n"]
-    table = df.sparkSession.createDataFrame(bases, f"`{part}` int, __base long")
-    return df.join(F.broadcast(table), part).withColumn(name, F.col(row) + F.col("__base")).drop(part, row, "__base")
+        total += r["rows"]
+    (base,) = free_names(df, "__base")
+    table = df.sparkSession.createDataFrame(bases, f"`{part}` int, `{base}` long")
+    return df.join(F.broadcast(table), part).withColumn(name, F.col(row) + F.col(base)).drop(part, row, base)
 
 
 def pieces(array: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

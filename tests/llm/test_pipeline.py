@@ -69,6 +69,17 @@ def test_odd_rows(spark):
     assert packing.pack(odd).count() >= 5
 
 
+def test_columns_of_any_name_and_type(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_removed long, __uid string, __kept int, __part int, __row int, __base int, `a.b` int, tags map<string,int>, deep array<struct<m:map<string,int>>>"
+    rest = (7, "own", 1, 2, 3, 4, 5, {"a": 1}, [({"b": 2},)])
+    odd = spark.createDataFrame([(1, EN, "en", "s", 5, *rest), (1, EN + " more", "en", "s", 5, *rest), (None, FR, "fr", None, None, None, None, None, None, None, None, None, None, None)], schema)
+    sound = odd.filter("doc_id is not null").limit(1)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd, "").columns == odd.columns
+        assert [tuple(r) for r in stage(spark, sound, "").collect()] == [tuple(r) for r in sound.collect()]
+    assert sorted((r["__uid"] or "", r["n_removed"] or 0) for r in corpus_pipeline.exact(spark, odd, "").collect()) == [("", 0), ("own", 7), ("own", 7)]
+
+
 def test_held_out_accuracy(spark):
     rows = [r for r in documents() if r[1] and any(c.isalpha() for c in r[1])]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
