@@ -15,11 +15,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from emberlog.llm import frames
+from emberlog.llm.words import word_hashes
 
 #: Entries of a table.
 TABLE_CHUNKS = 600_000
 #: Bytes of text whose chunks are looked up together.
-GROUP_BYTES = 1 << 23
+GROUP_BYTES = 1 << 21
 #: Distinct words that go through a library as one text.
 JOINED = 1024
 
@@ -99,10 +100,14 @@ def split(texts: pa.Array, cuts: Callable[[np.ndarray, np.ndarray], np.ndarray],
 
 
 class Table:
-    """Values of distinct chunks met so far; encode gives the values of a list of chunks as an Arrow array."""
+    """Values of distinct chunks met so far; encode gives the values of a list of chunks as an Arrow array.
+
+    Chunks are found by a sorted array of their hashes, and compared whole.
+    """
 
     def __init__(self, encode: Callable[[list[str]], pa.Array]):
         self.encode, self.known, self.values = encode, None, None
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def codes(self, chunks: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """A row for each chunk, and the values by row.
@@ -112,30 +117,38 @@ class Table:
         """
         coded = chunks.dictionary_encode()
         indices, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
-        if self.known is None:
-            return self._anew(distinct, indices)
-        place = pc.index_in(distinct, value_set=self.known)
-        missing = place.is_null().to_numpy(zero_copy_only=False)
+        body, ends = frames.raw(distinct)
+        hashes = word_hashes(body, ends[:-1], ends[1:])
+        if self.known is None or not len(self.known):
+            return self._anew(distinct, hashes, indices)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        rows = self.rows[place]
+        hit = self.hashes[place] == hashes
+        same = pc.equal(self.known.take(pa.array(rows)), distinct).to_numpy(zero_copy_only=False)
+        missing = ~(hit & same)
         n = int(missing.sum())
-        rows = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         if not n:
             return rows[indices], self.values
         full = len(self.known) + n > TABLE_CHUNKS
         if full and 2 * n > len(distinct):
-            return self._anew(distinct, indices)
+            return self._anew(distinct, hashes, indices)
         new = distinct.filter(pa.array(missing))
         rows[missing] = len(self.known) + np.arange(n)
         values = pa.concat_arrays([self.values, self.encode(new.to_pylist())])
         if not full:
-            self.known, self.values = pa.concat_arrays([self.known, new]), values
+            self._learn(pa.concat_arrays([self.known, new]), values, np.concatenate([self.hashes, hashes[missing]]), np.concatenate([self.rows, rows[missing]]))
         return rows[indices], values
 
-    def _anew(self, distinct: pa.Array, indices: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    def _anew(self, distinct: pa.Array, hashes: np.ndarray, indices: np.ndarray) -> tuple[np.ndarray, pa.Array]:
         values = self.encode(distinct.to_pylist())
         if len(distinct) <= TABLE_CHUNKS:
-            self.known, self.values = distinct, values
+            self._learn(distinct, values, hashes, np.arange(len(distinct)))
         return indices, values
 
+    def _learn(self, known: pa.Array, values: pa.Array, hashes: np.ndarray, rows: np.ndarray) -> None:
+        order = np.argsort(hashes, kind="stable")
+        self.known, self.values, self.hashes, self.rows = known, values, hashes[order], rows[order]
+
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of each text's items."""

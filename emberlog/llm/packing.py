@@ -7,8 +7,9 @@ is none at a power of two, and SEQUENCE for being one. Cuts come from the least
     f(j) = cut(j) + SEQUENCE + min( min over j - size <= i < j of f(i) + i  + size - j,   min over powers of two p < size of f(j - p) )
 
 The inner minimum is a sliding one, kept in a monotone queue, so a window takes time linear in its possible cuts. Sequences that end
-well before a window's end are final; the rest moves on into the next window. The stream is range-partitioned by id, and a partition's
-last ids are cut into powers of two where that is cheaper than padding, so partitions end without padding.
+well before a window's end are final; the rest moves on into the next window. The stream is range-partitioned by id into
+spark.sql.shuffle.partitions parts, and a partition's last ids are cut into powers of two where that is cheaper than padding, so partitions
+end without padding. Which sequences come out depends on where the parts begin, and so on that setting; the coverage of ids doesn't.
 
 Null and empty texts are an end id alone. Very long documents go through several sequences. Rows with a null or repeated id are
 documents in the order of (id, text). An empty table gives an empty result. Other columns play no part.
@@ -17,6 +18,7 @@ documents in the order of (id, text). An empty table gives an empty result. Othe
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,6 @@ from emberlog.llm import chunks, frames
 SIZE = 2048
 SENTENCE, INSIDE, SEQUENCE = 8, 64, 16
 WINDOW = 1 << 18
-#: Documents of a partition at least, where there are more than one.
-LEAST_DOCUMENTS = 512
 #: Longest stretch without a possible cut.
 GAP = 64
 
@@ -48,10 +48,10 @@ def best_cuts(pos: np.ndarray, cost: np.ndarray, size: int = SIZE) -> list[int]:
         p *= 2
     later, earlier = np.concatenate(later), np.concatenate(earlier)
     order = np.argsort(later, kind="stable")
-    firsts = np.searchsorted(later[order], np.arange(n + 1)).tolist()
-    earlier = earlier[order].tolist()
-    where, price = pos.tolist(), (cost + SEQUENCE).tolist()
-    f, back = [0] * n, [0] * n
+    numbers = lambda x: array("q", np.ascontiguousarray(x, dtype=np.int64).tobytes())  # noqa: E731  no object for each number
+    firsts, earlier = numbers(np.searchsorted(later[order], np.arange(n + 1))), numbers(earlier[order])
+    where, price = numbers(pos), numbers(cost + SEQUENCE)
+    f, back = numbers(np.zeros(n)), numbers(np.zeros(n))
     queue, values, head = [0], [0], 0
     for j in range(1, n):
         x = where[j]
@@ -177,8 +177,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, size:
 def pack(df: DataFrame, vocabulary: str = "word_bpe_49k.json", end: int = 1, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset; sequences are numbered from 0 in id order."""
     docs, restore = frames.unique_ids(frames.documents(df, id_col, text_col))
-    # a partition's end cuts its last sequence short, so small inputs get few
-    parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // LEAST_DOCUMENTS)))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     found = ranged.mapInArrow(lambda it: _pieces(it, vocabulary, end, size), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, __row long, offset long, __part int")
     numbered = frames.with_bases(frames.staged(found, "pieces"), "__part", "__row", "sequence_id")
