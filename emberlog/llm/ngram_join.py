@@ -159,7 +159,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.R
 SEGMENTS = pa.schema([("key", pa.int64()), ("segment", pa.int64()), ("doc_id", pa.int64()), ("kind", pa.int32()), ("need", pa.int32())])
 
 
-def _segments(batches: Iterator[pa.RecordBatch], gram: int, percent: int, limit: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], gram: int, percent: int, limit: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Segments of all documents. Those that occur twice in the task are shared whatever the others hold: they travel under keys of their
     own, with the segment beside, and one row without a document speaks for the segment."""
     levels, held, size = Levels(percent), [], 0
