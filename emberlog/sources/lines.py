@@ -49,19 +49,15 @@ class Lines:
 
 
 def _head(path: str, size: int = 1 << 20) -> bytes:
-    """The first bytes of a local file, uncompressed."""
-    with open(path, "rb") as f:
-        start = f.read(2)
-        f.seek(0)
-        if start == b"\x1f\x8b":
-            out, z = b"", zlib.decompressobj(31)
-            try:
-                while len(out) < size and (block := f.read(65536)):
-                    out += z.decompress(block)
-            except zlib.error:
-                pass
-            return out
-        return f.read(size)
+    """The first bytes of a local file, uncompressed; whole lines, where the file has more than them."""
+    out = b""
+    with gzip.open(path) if is_gzip(path) else open(path, "rb") as f:
+        try:
+            while len(out) < size and (block := f.read(65536)):
+                out += block
+        except (EOFError, OSError, zlib.error):  # what can't be unpacked is an error of the read that follows
+            pass
+    return out[: out.rfind(b"\n") + 1] if len(out) >= size and b"\n" in out else out
 
 
 def _remote_head(spark: SparkSession, path: str) -> bytes:

@@ -21,24 +21,33 @@ def run(spark, tmp_path):
     return call
 
 
+def gauges(*rows):
+    """Lines of a tide gauge: station, centimetres, and more pairs."""
+    return "".join("{" + ",".join(f'"{k}":{v}' for k, v in r.items()) + "}\n" for r in rows)
+
+
+QUAY = [dict(station='"quay"', cm=n) for n in (181, 176, 190, 202)]
+REEF = [dict(station='"reef"', cm=n) for n in (44, 39.5, 61)]
+TIDES = gauges(QUAY[0], REEF[0], QUAY[1], REEF[1], QUAY[2], {"station": '"buoy 7"', "cm": 5}, REEF[2], QUAY[3])
+
 CASES = {
-    "filter": (["exists(x)", "@i"], '{"x":1,"msg":"hello"}\n{"y":2}\n{"x":3,"msg":"world"}\n', '{"x":1,"msg":"hello"}\n{"x":3,"msg":"world"}\n', "", 0),
-    "csv": (["-o", "csv", "exists(x)", "@i"], '{"x":1,"msg":"hello, world"}\n', 'x,msg\r\n1,"hello, world"\r\n', "", 0),
-    "level": (['level >= "warn"', "@i"], '{"level":"error","msg":"a"}\n{"level":"info","msg":"b"}\n{"level":"warn","msg":"c"}\n', '{"level":"error","msg":"a"}\n{"level":"warn","msg":"c"}\n', "", 0),
-    "levels": (["--levels", "critical=55", 'level >= "warn"', "@i"], '{"level":"critical","msg":"a"}\n{"level":"info","msg":"b"}\n', '{"level":"critical","msg":"a"}\n', "", 0),
-    "logfmt": (["-f", "logfmt", "exists(user)", "@i"], 'level=info msg="request ok" user=alice\nlevel=debug msg="no user field"\n', 'level=info msg="request ok" user=alice\n', "", 0),
-    "guard": (["--max-groups", "2", "| stats count() by service", "@i"], '{"service":"a"}\n{"service":"b"}\n{"service":"c"}\n', '{"service":"a","count":1}\n{"service":"b","count":1}\n{"service":"(other)","count":1}\n', "emberlog: 3 line(s) read, 1 groups overflowed to (other)\n", 0),
-    "missing_null": (["-o", "jsonl", "| stats count() by tag", "@i"], '{"tag":"a"}\n{"tag":null}\n{}\n{"tag":""}\n', '{"tag":"","count":1}\n{"tag":null,"count":1}\n{"count":1}\n{"tag":"a","count":1}\n', "", 0),
-    "percentiles": (["| stats p50(duration_ms), p95(duration_ms)", "@i"], "".join(f'{{"duration_ms":{n}}}\n' for n in (10, 20, 30, 40, 50)), '{"p50_duration_ms":30,"p95_duration_ms":50}\n', "", 0),
-    "topk": (["| stats count() by service | sort count desc limit 2", "@i"], "".join(f'{{"service":"{c}"}}\n' for c in "abaccc"), '{"service":"c","count":3}\n{"service":"a","count":2}\n', "", 0),
-    "table": (["-o", "table", "exists(x)", "@i"], '{"x":1,"msg":"a"}\n{"x":20,"msg":"bb"}\n', " x  msg\n 1  a\n20  bb\n", "", 0),
-    "window": (["| stats count() every 1h", "@i"], '{"ts":"2026-08-29T12:10:00Z"}\n{"ts":"2026-08-29T12:50:00Z"}\n{"ts":"2026-08-29T14:00:00Z"}\n{"nots":true}\n', '{"window":"(no-ts)","count":1}\n{"window":"2026-08-29T12:00:00Z","count":2}\n{"window":"2026-08-29T14:00:00Z","count":1}\n', "", 0),
-    "kinds": (["| stats count(), sum(a), avg(a), min(a), max(a), count_distinct(a) by k", "-f", "jsonl", "@i"], '{"k":1,"a":2}\n{"k":"1","a":2.5}\n{"k":true,"a":"x"}\n{"k":{"b":1},"a":true}\n', '{"k":1,"count":2,"sum_a":4.5,"avg_a":2.25,"min_a":2,"max_a":2.5,"count_distinct_a":2}\n{"k":true,"count":1,"sum_a":0,"avg_a":"(none)","min_a":"x","max_a":"x","count_distinct_a":1}\n{"k":{"b":1},"count":1,"sum_a":0,"avg_a":"(none)","min_a":true,"max_a":true,"count_distinct_a":1}\n', "", 0),
-    "fields": (["x != 1 | fields b.c, x | limit 2", "@i"], '{"x":2,"b":{"c":"<"}}\n{"x":1}\n{"b":{"c":[1,2.50]},"x":null}\n', '{"b.c":"\\u003c","x":2}\n{"b.c":[1,2.5],"x":null}\n', "", 0),
-    "on_error": (["-f", "jsonl", "--on-error", "stop", "exists(x)", "@i"], '{"x":1}\nnot json at all\n{"x":2}\n', '{"x":1}\n', "emberlog: aborted: --on-error stop\nmalformed line: not json at all\n", 3),
-    "counters": (["-f", "jsonl", "exists(x)", "@i"], '{"x":1} trailing\n\n{"x":1,"x":2}\n[1]\n{"x":1,"ts":"bad"}\r\n' + '{"x":' + "[" * 32 + "]" * 32 + "}\n", '{"x":1,"x":2}\n{"x":1,"ts":"bad"}\n', "emberlog: 5 line(s) read, 3 malformed, 1 dup key(s), 1 ts unparsed\n", 0),
-    "max_line": (["-f", "plain", "--max-line", "5", "exists(msg)", "@i"], "12345\n123456\nabc", "12345\nabc\n", "emberlog: 2 line(s) read, 1 oversized\n", 0),
-    "bounds": (["--since", "2024-01-02T00:00:00Z", "exists(a)", "@i"], '{"a":1,"ts":1704067200}\n{"a":2,"time":"2024-01-03 00:00:00"}\n{"a":3}\n', '{"a":2,"time":"2024-01-03 00:00:00"}\n', "emberlog: 3 line(s) read, 2 dropped by --since/--until\n", 0),
+    "a comparison keeps the lines as they are": (["cm > 180", "@i"], '{"cm": 181, "by": "Ada"}\n{ "cm":12 }\n{"at":"quay","cm":180.5}\n{"cm":"high"}\n', '{"cm": 181, "by": "Ada"}\n{"at":"quay","cm":180.5}\n', "", 0),
+    "csv with quotes and several kinds": (["-o", "csv", "cm < 50 | fields station, cm, ok", "@i"], gauges({"station": '"reef, \\"outer\\""', "cm": 44, "ok": "true"}, {"station": '"reef"', "cm": 39.5}, QUAY[0]), 'station,cm,ok\r\n"reef, ""outer""",44,true\r\nreef,39.5,\r\n', "", 0),
+    "levels by their order": (['severity < "warn"', "@i"], gauges({"severity": '"DEBUG"', "n": 1}, {"severity": '"fatal"', "n": 2}, {"severity": "25", "n": 3}, {"severity": '"nonsense"', "n": 4}), '{"severity":"DEBUG","n":1}\n{"severity":25,"n":3}\n{"severity":"nonsense","n":4}\n', "", 0),
+    "levels of one's own": (["--levels", "spring=7,neap=3", 'lvl >= "spring"', "@i"], gauges({"lvl": '"neap"'}, {"lvl": '"Spring"', "cm": 240}, {"lvl": '"trace"'}), '{"lvl":"Spring","cm":240}\n{"lvl":"trace"}\n', "", 0),
+    "logfmt with quoted values": (["-f", "logfmt", 'note ~ "calm" and cm < 100', "@i"], 'station=reef cm=44 note="calm, clear"\nstation=quay cm=181 note=calm\nstation=reef cm=61 note=rough\nstation=reef cm=7 note=calm\n', 'station=reef cm=44 note="calm, clear"\nstation=reef cm=7 note=calm\n', "", 0),
+    "groups beyond the guard": (["--max-groups", "1", "| stats count(), sum(cm) by station", "@i"], TIDES, '{"station":"quay","count":4,"sum_cm":749}\n{"station":"(other)","count":4,"sum_cm":149.5}\n', "emberlog: 8 line(s) read, 4 groups overflowed to (other)\n", 0),
+    "group keys that are null, empty, absent or numbers": (["-o", "jsonl", "| stats count(), max(n) by k", "@i"], '{"n":1}\n{"k":null,"n":2}\n{"k":"","n":3}\n{"k":4,"n":4}\n{"n":5}\n{"k":"4","n":6}\n', '{"k":"","count":1,"max_n":3}\n{"k":null,"count":1,"max_n":2}\n{"count":2,"max_n":5}\n{"k":4,"count":2,"max_n":6}\n', "", 0),
+    "nearest ranks": (["| stats p50(cm), p99(cm), count() by station", "@i"], TIDES, '{"station":"buoy 7","p50_cm":5,"p99_cm":5,"count":1}\n{"station":"quay","p50_cm":181,"p99_cm":202,"count":4}\n{"station":"reef","p50_cm":44,"p99_cm":61,"count":3}\n', "", 0),
+    "groups sorted by a result": (["| stats avg(cm), count() by station | sort avg_cm asc limit 2 | limit 1", "@i"], TIDES, '{"station":"buoy 7","avg_cm":5,"count":1}\n', "", 0),
+    "a table with missing and nested cells": (["-o", "table", "exists(cm) | fields station, cm, gear", "@i"], gauges({"station": '"quay"', "cm": 9, "gear": "[1]"}, {"cm": 12345, "gear": "null"}, {"station": '"r"', "cm": -0.25, "gear": '{"a":1}'}), "station       cm  gear\nquay           9  [array]\n(missing)  12345  (null)\nr          -0.25  [object]\n", "", 0),
+    "windows of several timestamp forms": (["-f", "jsonl", "| stats count(), min(n) every 15m", "@i"], gauges({"ts": '"2023-03-05T23:59:59.999+01:00"', "n": 1}, {"timestamp": 1678057200, "n": 2}, {"@timestamp": '"2023-03-05 23:14:00"', "n": 3}, {"time": 1678057199123, "n": 4}, {"n": 5}, {"ts": '"soon"', "n": 6}), '{"window":"(no-ts)","count":2,"min_n":5}\n{"window":"2023-03-05T22:45:00Z","count":2,"min_n":1}\n{"window":"2023-03-05T23:00:00Z","count":2,"min_n":2}\n', "emberlog: 6 line(s) read, 1 ts unparsed\n", 0),
+    "values of several kinds in one field": (["| stats count(), sum(v), avg(v), min(v), max(v), count_distinct(v) by g", "@i"], gauges({"g": '"mixed"', "v": '"b"'}, {"g": '"mixed"', "v": 10}, {"g": '"mixed"', "v": '"a"'}, {"g": '"flags"', "v": "false"}, {"g": '"flags"', "v": "true"}, {"g": '"flags"', "v": "true"}, {"g": '"none"'}), '{"g":"flags","count":3,"sum_v":0,"avg_v":"(none)","min_v":false,"max_v":true,"count_distinct_v":2}\n{"g":"mixed","count":3,"sum_v":10,"avg_v":10,"min_v":"a","max_v":"b","count_distinct_v":3}\n{"g":"none","count":1,"sum_v":0,"avg_v":"(none)","min_v":"(none)","max_v":"(none)","count_distinct_v":0}\n', "", 0),
+    "paths into containers": (["exists(hull.plates[1]) | fields hull.plates[1], hull.name | limit 2", "@i"], gauges({"hull": '{"plates":[3,[4.50,"<&>"]],"name":"Wren"}'}, {"hull": '{"plates":[3]}'}, {"hull": '{"plates":[0,null]}'}, {"hull": '{"plates":[1,2]}'}), '{"hull.plates[1]":[4.5,"\\u003c\\u0026\\u003e"],"hull.name":"Wren"}\n{"hull.plates[1]":null}\n', "", 0),
+    "stopping at the first bad line": (["-f", "jsonl", "--on-error", "stop", "cm > 0", "@i"], '{"cm":3}\n{"cm":-3}\n{"cm":4}\n{"cm":\n{"cm":5}\n', '{"cm":3}\n{"cm":4}\n', 'emberlog: aborted: --on-error stop\nmalformed line: {"cm":\n', 3),
+    "what the counters count": (["-f", "jsonl", "exists(cm)", "@i"], '{"cm":1}{"cm":2}\n\r\n"cm"\n{"cm":7,"cm":8,"cm":9}\n{"cm":0,"time":[]}\n{"cm":' + '{"d":' * 32 + "1" + "}" * 32 + "}\n\n", '{"cm":7,"cm":8,"cm":9}\n{"cm":0,"time":[]}\n', "emberlog: 5 line(s) read, 3 malformed, 2 dup key(s), 1 ts unparsed\n", 0),
+    "lines that are too long": (["-f", "plain", "--max-line", "9", 'msg ~ "tide"', "@i"], "high tide\nspring tide\ntide", "high tide\ntide\n", "emberlog: 2 line(s) read, 1 oversized\n", 0),
+    "bounds of time": (["--since", "2023-03-05T12:00:00+02:00", "--until", "2023-03-06T00:00:00Z", "exists(n)", "@i"], gauges({"n": 1, "ts": 1678010400}, {"n": 2, "ts": 1678010399}, {"n": 3, "ts": '"2023-03-06T00:00:00Z"'}, {"n": 4, "ts": '"2023-03-07"'}, {"n": 5}), '{"n":1,"ts":1678010400}\n{"n":3,"ts":"2023-03-06T00:00:00Z"}\n', "emberlog: 5 line(s) read, 3 dropped by --since/--until, 1 ts unparsed\n", 0),
 }
 
 
@@ -49,18 +58,19 @@ def test_runs(run, name):
 
 
 def test_gzip_with_and_without_its_name(run):
-    packed = gzip.compress(b'{"x":1,"msg":"compressed"}\n') + gzip.compress(b'{"x":2}\n{"y":1}')
-    for name in ("i.jsonl.gz", "i.log"):
-        assert run("exists(x)", f"@{name}", files={name: packed}) == (0, '{"x":1,"msg":"compressed"}\n{"x":2}\n', "")
+    packed = gzip.compress(b'{"cm":44}\n{"mm":') + gzip.compress(b'1}\n{"cm":"\xc3\xa9"}\n') + gzip.compress(b'{"cm":3}')
+    for name in ("tides.json.gz", "tides.dump"):
+        assert run("exists(cm)", f"@{name}", files={name: packed}) == (0, '{"cm":44}\n{"cm":"é"}\n{"cm":3}\n', "")
 
 
 def test_stdin_and_files_in_order(run):
-    assert run("| limit 3", "@b", "-", "@a", files={"a": '{"n":3}\n', "b": '{"n":1}\n'}, stdin=b'{"n":2}\n')[1] == '{"n":1}\n{"n":2}\n{"n":3}\n'
+    files = {"z": '{"cm":9}\n{"cm":8}\n', "a": '{"cm":6}\n{"cm":5}\n'}
+    assert run("| limit 4", "@z", "-", "@a", files=files, stdin=b'{"cm":7}\n')[1] == "".join(f'{{"cm":{n}}}\n' for n in (9, 8, 7, 6))
 
 
 @pytest.mark.parametrize(
     ("args", "code", "said"),
-    [(["-f", "bogus", "exists(x)"], 1, "invalid --format"), ([""], 1, "empty query"), (["x =="], 2, "1:5: E-PARSE"), (["x ~ '('"], 2, "E-TYPE"), (["exists(x)", "@none"], 4, "no such file"), (["--max-groups", "0", "x == 1"], 1, "max-groups"), (["--levels", "a", "x == 1"], 1, "levels"), (["--since", "yesterday", "x == 1"], 1, "time bound")],
+    [(["--format=xml", "cm > 1"], 1, "invalid --format"), (["  "], 1, "empty query"), (["cm >\n"], 2, "2:1: E-PARSE"), (['note ~ "[a"'], 2, "E-TYPE"), (["cm > 1", "@lost"], 4, "no such file"), (["--max-sample", "0", "cm > 1"], 1, "max-sample"), (["--levels", "spring", "cm > 1"], 1, "levels"), (["--until", "noon", "cm > 1"], 1, "time bound")],
 )
 def test_errors(run, args, code, said):
     got = run(*args)
@@ -68,4 +78,4 @@ def test_errors(run, args, code, said):
 
 
 def test_query_from_a_file(run):
-    assert run("-Q", "@q", "@i", files={"q": " exists(x) \n", "i": '{"x":1}\n'}) == (0, '{"x":1}\n', "")
+    assert run("-Q", "@q", "@i", files={"q": "\n cm >= 61\n and cm < 190 \n", "i": TIDES}) == (0, gauges(QUAY[0], QUAY[1], REEF[2]), "")
