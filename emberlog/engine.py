@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions import times
-from emberlog.functions.values import quoted
 from emberlog.operators import rows as steps
 from emberlog.operators import stats as aggregation
 from emberlog.operators.filters import LEVELS, Context, condition
@@ -49,7 +48,7 @@ class Result:
 
     @property
     def df(self) -> DataFrame:
-        return self.rows.df.select(*[quoted(c) for c in self.rows.columns])
+        return self.rows.df.select(*[F.col(c).alias(name) for c, name in zip(self.rows.inner, self.rows.columns)])
 
 
 def bound(text: str, now: int | Column) -> int | Column:

@@ -1,7 +1,7 @@
 """Values of rows: typed columns whose kind is known when a query is compiled, and VARIANT values whose kind is known per row.
 
 A missing field is SQL NULL in a VARIANT row, and an explicit null is a variant null. A typed column has one NULL: null_as says whether it
-is a present null ("null") or a missing field ("missing").
+is a present null ("null") or a missing field ("missing"). A NaN, which no text can hold, reads as NULL; infinities are numbers.
 """
 
 from __future__ import annotations
@@ -137,7 +137,12 @@ class Typed(Value):
             self.static = NULL
         else:
             self.static = STRING
-        self.present = True if null_as == "null" else source.isNotNull()
+        self.is_float = isinstance(kind, (T.FloatType, T.DoubleType))
+        self.present = True if null_as == "null" else self.sound().isNotNull()
+
+    def sound(self) -> Column:
+        """The column with NaN as null."""
+        return F.when(~F.isnan(self.source), self.source) if self.is_float else self.source
 
     @property
     def is_integer(self) -> bool:
@@ -145,14 +150,14 @@ class Typed(Value):
 
     def has(self, kind: str) -> Guard:
         if kind == NULL:
-            return self.source.isNull() if self.null_as == "null" else False
+            return self.sound().isNull() if self.null_as == "null" else False
         return kind == self.static
 
     def native(self) -> Column:
         return self.source
 
     def number(self) -> Column:
-        return self.source.cast("double")
+        return self.sound().cast("double")
 
     def integer(self) -> Column | None:
         return self.source.cast("long") if self.is_integer else None
@@ -177,7 +182,7 @@ class Typed(Value):
         return self.container() if self.static == CONTAINER else self.string()
 
     def code(self) -> Column:
-        return F.when(self.source.isNull(), F.lit("z" if self.null_as == "null" else "m")).otherwise(F.lit(CODES[self.static]))
+        return F.when(self.sound().isNull(), F.lit("z" if self.null_as == "null" else "m")).otherwise(F.lit(CODES[self.static]))
 
 
 class Resolved(Value):

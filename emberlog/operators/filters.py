@@ -82,7 +82,16 @@ def _any(choices: list) -> Column | bool:
 
 
 def _numbers(op: str, a: Value, b: Value) -> Column:
-    """Comparison of numbers: exact where both are integers, else as doubles."""
+    """Comparison of numbers: exact where both are integers, else as doubles. A NaN compares with nothing; that it is none is asked beside
+    the comparison, which the scan can use."""
+    found = _bare_numbers(op, a, b)
+    for x in (a, b):
+        if isinstance(x, Typed) and x.is_float and not (op in ("<", "<=", "==") and x is a and isinstance(b, Constant)):
+            found = found & ~F.isnan(x.source)
+    return found
+
+
+def _bare_numbers(op: str, a: Value, b: Value) -> Column:
     for x in (a, b):
         if isinstance(x, Constant) and abs(x.literal.value) < 2**53:  # a double tells it from all integers
             return COMPARE[op](a.native() if isinstance(a, (Typed, Constant)) else a.number(), b.native() if isinstance(b, (Typed, Constant)) else b.number())
@@ -173,8 +182,8 @@ def _unequal(a: Value, b: Value, context: Context) -> Column | bool:
         a, b = b, a
     if isinstance(a, Typed) and isinstance(b, Constant):
         if b.static == NULL:
-            return a.source.isNotNull() if a.null_as == "null" else a.present
-        if a.static == b.static and a.static in (NUMBER, STRING, BOOL):
+            return a.sound().isNotNull() if a.null_as == "null" else a.present
+        if a.static == b.static and a.static in (NUMBER, STRING, BOOL) and (a.null_as == "null" or not a.is_float):
             return ~a.native().eqNullSafe(b.native()) if a.null_as == "null" else a.native() != b.native()
     same = _any(_equal(a, b, context))
     present = both(a.present, b.present)

@@ -14,14 +14,17 @@ from emberlog.plans.nodes import Fields, Limit, Sort
 
 @dataclass(frozen=True)
 class Rows:
-    """columns: what a reader sees, in order. arrival: columns that give the order of arrival; none where it isn't known.
+    """columns: the names that a reader sees, in order; inner: the columns of df that hold them, whose names are the engine's own, so that no
+    name of a table can meet another one or differ from it in case alone.
 
+    arrival: columns of df that give the order of arrival; none where it isn't known.
     raw: the column of the original lines while rows are still unchanged. codes: for columns of text, the column with their kinds.
     """
 
     df: DataFrame
     resolver: Resolver
     columns: tuple[str, ...]
+    inner: tuple[str, ...]
     arrival: tuple[str, ...] = ()
     raw: str | None = None
     codes: dict[str, str] = field(default_factory=dict)
@@ -38,24 +41,23 @@ class Rows:
 
 def fields(rows: Rows, stage: Fields) -> Rows:
     """Project to paths; what a path doesn't find is missing in the row. The timestamp is no longer known."""
-    picked, names, columns = [], {}, []
-    for path in stage.paths:
+    picked, names = [], {}
+    inner = tuple(f"p{k}" for k in range(len(stage.paths)))
+    for path, name in zip(stage.paths, inner):
         value = rows.resolver.resolve(path)
-        native = value.native()
         kind: T.DataType = T.VariantType() if isinstance(value, Variant) else value.type if isinstance(value, Typed) else T.TimestampType() if isinstance(value, Resolved) else T.StringType()
-        picked.append(native.alias(path.text))
+        picked.append(value.native().alias(name))
         if not isinstance(value, Missing):
-            names[path.text] = (path.text, kind)
-        columns.append(path.text)
-    keep = [F.col(quoted(c)) for c in rows.arrival if c not in columns]
+            names[path.text] = (name, kind)
+    keep = [F.col(quoted(c)) for c in rows.arrival]
     resolver = Resolver(names, None, rows.resolver.null_as, rows.resolver.tz)
-    return replace(rows, df=rows.df.select(*picked, *keep), resolver=resolver, columns=tuple(columns), raw=None, codes={})
+    return replace(rows, df=rows.df.select(*picked, *keep), resolver=resolver, columns=tuple(p.text for p in stage.paths), inner=inner, raw=None, codes={})
 
 
 def keys(value: Value) -> list[Column]:
     """Columns that order values: missing last, then by kind, then within it. Values without an order are equal."""
     if isinstance(value, Typed):
-        return [value.source] if value.static in (NUMBER, STRING, BOOL, TIMESTAMP) else []
+        return [value.sound()] if value.static in (NUMBER, STRING, BOOL, TIMESTAMP) else []
     if isinstance(value, Resolved):
         return [value.column if value.column is not None else value.source]
     if isinstance(value, Variant):
@@ -93,12 +95,24 @@ def typed_rows(df: DataFrame, order_by: tuple[str, ...] = (), null_as: str = "nu
     may enter; ts: the column that holds the timestamp, by default the first candidate that can."""
     from emberlog.functions import times
 
-    names = {f.name: (f.name, f.dataType) for f in df.schema}
-    found = [ts] if ts else [c for c in times.CANDIDATES if c in names and times.column_micros(F.col(quoted(c)), names[c][1], tz) is not None]
+    inner = tuple(f"f{k}" for k in range(len(df.columns)))
+    names: dict[str, tuple[str, T.DataType]] = {}
+    for f, c in zip(df.schema, inner):
+        names.setdefault(f.name, (c, f.dataType))
+
+    def place(name: str) -> str:
+        near = [c for f, c in zip(df.columns, inner) if f.lower() == name.lower()]
+        if name not in names and len(near) != 1:
+            raise ValueError(f"{len(near)} columns of the table are called {name!r}")
+        return names[name][0] if name in names else near[0]
+
+    columns, arrival = tuple(df.columns), tuple(map(place, order_by))
+    df = df.toDF(*inner)
+    found = [names[ts]] if ts else [names[c] for c in times.CANDIDATES if c in names and times.column_micros(F.col(names[c][0]), names[c][1], tz) is not None]
     resolver = Resolver(names, None, null_as, tz, parsed=frozenset(json))
-    if len(found) == 1 and isinstance(names[found[0]][1], (T.TimestampType, T.TimestampNTZType)):
-        resolver = replace(resolver, ts_native=(found[0], names[found[0]][1]))
+    if len(found) == 1 and isinstance(found[0][1], (T.TimestampType, T.TimestampNTZType)):
+        resolver = replace(resolver, ts_native=found[0])
     elif found:
-        df = df.withColumn("__ts", F.coalesce(*[times.column_micros(F.col(quoted(c)), names[c][1], tz) for c in found]))
+        df = df.withColumn("__ts", F.coalesce(*[times.column_micros(F.col(c), kind, tz) for c, kind in found]))
         resolver = replace(resolver, ts="__ts")
-    return Rows(df, resolver, tuple(names), tuple(order_by))
+    return Rows(df, resolver, columns, inner, arrival)

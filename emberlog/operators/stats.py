@@ -29,8 +29,8 @@ def _key(value: Value) -> Column:
 
 
 def stats(rows: Rows, stage: Stats, max_groups: int | None = MAX_GROUPS, max_sample: int = MAX_SAMPLE, sketch: bool = False, streaming: bool = False) -> Rows:
-    """One row for each group. Columns: window, the by paths, then a column for each function; beside them, hidden: __key (order of
-    groups), __is_other, __n (rows of the group) and kinds of texts.
+    """One row for each group. Columns: window, the by paths, then a column for each function (s0, s1, ... in df); beside them, hidden:
+    __key (order of groups), __is_other, __n (rows of the group) and kinds of texts.
 
     max_groups: further groups, in order of arrival, become one; None: no guard. sketch: percentiles from a mergeable sketch, for groups
     whose values an executor can't hold. Sums of integers are exact; those that pass 64 bits are doubles beside a null.
@@ -50,7 +50,7 @@ def stats(rows: Rows, stage: Stats, max_groups: int | None = MAX_GROUPS, max_sam
     # typed values group as they are, others by their texts
     plain = [isinstance(v, (Typed, Missing)) and v.static not in (CONTAINER,) for v in values]
     for k, (v, as_is) in enumerate(zip(values, plain)):
-        df = df.withColumn(f"__by{k}", v.native() if as_is else _key(v))
+        df = df.withColumn(f"__by{k}", (v.sound() if isinstance(v, Typed) else v.native()) if as_is else _key(v))
     group = (["__window"] if window is not None else []) + [f"__by{k}" for k in range(len(values))]
     overflowed = False
     if max_groups is not None and group and not streaming:
@@ -76,7 +76,7 @@ def stats(rows: Rows, stage: Stats, max_groups: int | None = MAX_GROUPS, max_sam
     texts, names = [], []
     if window is not None:
         label = F.coalesce(times.label(F.col("__window"), resolver.tz), F.lit(times.NO_TS))
-        shown.append(F.when(other, F.lit(OTHER)).otherwise(label).alias("window"))
+        shown.append(F.when(other, F.lit(OTHER)).otherwise(label))
         texts.append(F.coalesce(times.label(F.col("__window"), resolver.tz), F.lit(IS_MISSING)))
         names.append("window")
     hidden = [F.col("__n")]
@@ -88,28 +88,31 @@ def stats(rows: Rows, stage: Stats, max_groups: int | None = MAX_GROUPS, max_sam
             again = Typed(source, v.type, v.null_as, v.tz) if isinstance(v, Typed) else v
             texts.append(_key(again))
             if overflowed:  # the row of the others shows a text, so the column is one
-                shown.append(F.when(other, F.lit(OTHER)).otherwise(again.text()).alias(name))
+                shown.append(F.when(other, F.lit(OTHER)).otherwise(again.text()))
             else:
-                shown.append(source.alias(name))
+                shown.append(source)
             code = again.code()
         else:
             texts.append(F.col(f"__by{k}"))
-            shown.append(F.when(other, F.lit(OTHER)).otherwise(F.col(f"__text{k}")).alias(name))
+            shown.append(F.when(other, F.lit(OTHER)).otherwise(F.col(f"__text{k}")))
             code = F.col(f"__code{k}")
         codes[name] = f"__code_{k}"
         hidden.append(F.when(other, F.lit("s")).otherwise(code).alias(f"__code_{k}"))
     key = F.concat_ws(SEPARATOR, *texts) if texts else F.lit("")
     out = []
     for f, c in zip(stage.functions, finish[::2]):
-        out.append(F.when(other, F.lit(None)).otherwise(c).alias(f.column) if overflowed and f.function == "count_distinct" else c.alias(f.column))
+        out.append(F.when(other, F.lit(None)).otherwise(c) if overflowed and f.function == "count_distinct" else c)
     for n, c in enumerate(finish[1::2]):
         hidden.append(c.alias(f"__note{n}"))
-    df = grouped.select(*shown, *out, key.alias("__key"), other.alias("__is_other"), *hidden)
-    kinds = {name: (name, df.schema[name].dataType) for name in [*names, *(f.column for f in stage.functions)]}
+    names += [f.column for f in stage.functions]
+    inner = tuple(f"s{k}" for k in range(len(names)))
+    df = grouped.select(*[c.alias(s) for c, s in zip([*shown, *out], inner)], key.alias("__key"), other.alias("__is_other"), *hidden)
+    schema = df.schema
+    kinds = {name: (s, schema[s].dataType) for name, s in zip(names, inner)}
     order = (F.col("__is_other").asc(), F.col("__key").asc())
     notes = {f.column: f"__note{n}" for n, f in enumerate(stage.functions)}
     return replace(
-        rows, df=df if streaming or not group else df.orderBy(*order), resolver=Resolver(kinds, None, "missing", resolver.tz), columns=tuple(kinds), arrival=("__is_other", "__key"), raw=None, codes=codes, sorted_by=order,
+        rows, df=df if streaming or not group else df.orderBy(*order), resolver=Resolver(kinds, None, "missing", resolver.tz), columns=tuple(names), inner=inner, arrival=("__is_other", "__key"), raw=None, codes=codes, sorted_by=order,
         notes={**rows.notes, "columns": notes, "functions": {f.column: f.function for f in stage.functions}, "overflowed": overflowed},
     )
 
@@ -129,7 +132,7 @@ def _guarded(df: DataFrame, group: list[str], arrival: Column | None, most: int)
 
 def _number(value: Value) -> Column:
     if isinstance(value, Typed):
-        return value.native() if value.static == NUMBER else F.lit(None).cast("double")
+        return value.sound() if value.static == NUMBER else F.lit(None).cast("double")
     return value.number() if isinstance(value, Variant) else F.lit(None).cast("double")
 
 
@@ -168,7 +171,7 @@ def _function(f: Aggregate, n: int, value: Value, resolver: Resolver, arrival: C
     if f.function == "count_distinct":
         if isinstance(value, Missing):
             return [], [F.lit(0).cast("long"), F.lit("i")]
-        distinct = value.native() if isinstance(value, Typed) and value.static != CONTAINER else _key(value)
+        distinct = value.sound() if isinstance(value, Typed) and value.static != CONTAINER else _key(value)
         missing = value.source.isNull() if isinstance(value, Variant) else F.lit(False)
         counted = F.when(~missing, distinct) if isinstance(value, Variant) else distinct
         if streaming:
@@ -177,7 +180,7 @@ def _function(f: Aggregate, n: int, value: Value, resolver: Resolver, arrival: C
             made = [F.count_distinct(counted).alias(name)]
         result = x
         if isinstance(value, Typed) and value.null_as == "null":
-            made.append(F.max(value.source.isNull().cast("long")).alias(total))
+            made.append(F.max(value.sound().isNull().cast("long")).alias(total))
             result = x + F.coalesce(y, F.lit(0))
         return made, [result, F.when(result > MAX_DISTINCT, F.lit("w")).otherwise(F.lit("i"))]
     return _extreme(f.function, value, n, resolver, arrival)
@@ -189,7 +192,7 @@ def _extreme(function: str, value: Value, n: int, resolver: Resolver, arrival: C
     if isinstance(value, Typed):
         if value.static in (CONTAINER, NULL):
             return [], [F.lit(None).cast("string"), F.lit("f")]
-        return [take(value.source).alias(name)], [F.col(name), F.lit({NUMBER: "i" if value.is_integer else "f", STRING: "s", BOOL: "b"}.get(value.static, "t"))]
+        return [take(value.sound()).alias(name)], [F.col(name), F.lit({NUMBER: "i" if value.is_integer else "f", STRING: "s", BOOL: "b"}.get(value.static, "t"))]
     if isinstance(value, Resolved):
         return [take(value.source).alias(name)], [times.label(F.col(name), resolver.tz), F.lit("s")]
     if isinstance(value, Missing):

@@ -99,15 +99,17 @@ def records(result: Result) -> Iterator[dict]:
         for r in ordered.select("__line").toLocalIterator():
             yield decoded(r[0])
         return
-    kinds = {c: rows.df.schema[c].dataType for c in rows.columns}
+    schema = rows.df.schema
+    places = dict(zip(rows.columns, rows.inner))
+    kinds = {name: schema[c].dataType for name, c in places.items()}
     hidden = [c for c in rows.df.columns if c.startswith(("__code_", "__note", "__is_other"))]
     ordered = rows.df if rows.sorted_by or not rows.arrival else rows.df.orderBy(*rows.order)
     notes, functions = rows.notes.get("columns", {}), rows.notes.get("functions", {})
-    for r in ordered.select(*[_shown(c, k).alias(c) for c, k in kinds.items()], *hidden).toLocalIterator():
+    for r in ordered.select(*[_shown(places[c], k).alias(places[c]) for c, k in kinds.items()], *hidden).toLocalIterator():
         out = {}
         other = "__is_other" in hidden and r["__is_other"]
         for c, kind in kinds.items():
-            value: object = r[c]
+            value: object = r[places[c]]
             if c in functions:
                 value = _result(functions[c], value, r[notes[c]], other)
             elif c in rows.codes:

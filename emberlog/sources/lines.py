@@ -174,7 +174,7 @@ def _with_time(df: DataFrame, options: Options) -> DataFrame:
 
 
 def _rows(df: DataFrame, options: Options) -> Rows:
-    return Rows(df.filter(F.col("__v").isNotNull()), Resolver({}, "__v", "null", options.tz, ts="__ts"), ("__v",), ("__seq",), "__line")
+    return Rows(df.filter(F.col("__v").isNotNull()), Resolver({}, "__v", "null", options.tz, ts="__ts"), ("__v",), ("__v",), ("__seq",), "__line")
 
 
 def decoded_rows(df: DataFrame, kind: str, options: Options) -> Rows:

@@ -193,3 +193,36 @@ def test_large_sums_and_empty_input(spark):
     empty = Engine(spark).table("id > 9 | stats count(), sum(v), avg(v), max(v), p99(v), count_distinct(v)", df, ("id",))
     assert list(render.records(empty)) == [{"count": 0, "sum_v": 0, "avg_v": "(none)", "max_v": "(none)", "p99_v": "(none)", "count_distinct_v": 0}]
     assert Engine(spark).table("id > 9 | stats count() by v", df, ("id",)).df.collect() == []
+
+
+def test_names_of_the_table_never_meet_the_engines_own(spark):
+    rows = [(1, 7, "x", 1.0), (1, 8, "y", 2.0), (1, 8, "x", 4.0)]
+    df = spark.createDataFrame(rows, "id int, __by0 int, __window string, __n double")
+    out = Engine(spark).table("| stats count(), sum(__n) by id, __by0", df, ("__n",))
+    assert [tuple(r) for r in out.df.collect()] == [(1, 7, 1, 1.0), (1, 8, 2, 6.0)] and out.df.columns == ["id", "__by0", "count", "sum___n"]
+    assert [tuple(r) for r in Engine(spark).table("__by0 == 8 | fields __window, __by0 | sort __window desc limit 1", df, ("__n",)).df.collect()] == [("y", 8)]
+
+
+def test_names_that_differ_in_case(spark):
+    both = spark.createDataFrame([(1, 10), (1, 20), (2, 30)], "a int, A int")
+    assert [tuple(r) for r in Engine(spark).table("A >= 20 | stats sum(a), sum(A) by a", both).df.collect()] == [(1, 1, 20), (2, 2, 30)]
+    assert [tuple(r) for r in Engine(spark).table("| fields A, a | sort A desc limit 2", both, ("a", "A")).df.collect()] == [(30, 2), (20, 1)]
+    lines = spark.createDataFrame([(0, '{"a":1,"A":2}'), (1, '{"a":1,"A":3}'), (2, '{"A":3}')], "at long, line string")
+    assert [tuple(r) for r in Engine(spark).lines("| stats count(), sum(a), sum(A) by a, A", lines, "line", "at").df.collect()] == [(None, "3", 1, 0, 3), ("1", "2", 1, 1, 2), ("1", "3", 1, 1, 3)]
+
+
+@pytest.mark.parametrize(("query", "want"), [
+    ("v > 1", [2, 5]), ("v >= 1", [1, 2, 5]), ("v < 2", [1]), ("1 < v", [2, 5]), ("v != 1", [0, 2, 3, 4, 5]), ("v == null", [0, 3, 4]), ("not (v > 1)", [0, 1, 3, 4]), ("v in [2, 1]", [1, 2]),
+])
+def test_nan_reads_as_null(spark, query, want):
+    nan = float("nan")
+    df = spark.createDataFrame([(0, nan), (1, 1.0), (2, 2.0), (3, None), (4, nan), (5, float("inf"))], "id int, v double")
+    assert [r["id"] for r in Engine(spark).table(query, df, ("id",)).df.orderBy("id").collect()] == want
+    finite = df.filter("id < 5")
+    row = Engine(spark).table("| stats sum(v), avg(v), max(v), p95(v), count_distinct(v)", finite, ("id",)).df.collect()[0]
+    assert tuple(row) == (3.0, 1.5, 2.0, 2.0, 3)
+    assert [tuple(r) for r in Engine(spark).table("| stats count() by v", finite, ("id",)).df.collect()] == [(None, 3), (1.0, 1), (2.0, 1)]
+    assert [r["id"] for r in Engine(spark).table("not exists(v)", df, ("id",), null_as="missing").df.collect()] == [0, 3, 4]
+    assert [r["id"] for r in Engine(spark).table("v != 1", df, ("id",), null_as="missing").df.orderBy("id").collect()] == [2, 5]
+    plan = Engine(spark).table("v > 1 and v < 5", df).df._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE" not in plan
