@@ -31,7 +31,7 @@ def vectors(n, dim, seed, clusters=0):
 @pytest.mark.parametrize(("n", "dim", "clusters"), [(900, 8, 0), (1500, 4, 6), (301, 1, 0), (5, 3, 0), (101, 64, 2)])
 def test_equals_brute_force(spark, monkeypatch, n, dim, clusters):
     monkeypatch.setattr(metric_search, "SHARD", 400)
-    monkeypatch.setattr(metric_search, "BLOCK", 4)
+    monkeypatch.setattr(metric_search, "QUERIES", 4)
     rows = vectors(n, dim, n, clusters)
     assert run(spark, rows) == brute(rows, 10)
 
@@ -44,6 +44,26 @@ def test_odd_rows_and_ties(spark):
     assert metric_search.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_a_large_group_of_equal_vectors_is_split_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(metric_search, "SHARD", 50)
+    monkeypatch.setattr(metric_search, "QUERIES", 3)
+    rows = vectors(600, 5, 2, 9)
+    rows += [(k, rows[10][1]) for k in range(600, 1100)] + [(k, [0.0] * 5) for k in range(1100, 1180)] + [(1180, [1.0]), (1200, [2.0])]
+    assert run(spark, rows) == brute(rows, 10)
+
+
+def test_queries_visit_only_cells_that_can_hold_a_hit(spark, monkeypatch):
+    monkeypatch.setattr(metric_search, "SHARD", 100)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 20
+    rows = [(k, [float(np.float32(c)) for c in centres[k % 12] + 0.05 * rng.normal(size=16)]) for k in range(2400)]
+    sent = []
+    visit = metric_search._visit
+    monkeypatch.setattr(metric_search, "_visit", lambda pages, pairs, k: (sent.append(pairs.count()), visit(pages, pairs, k))[1])
+    assert run(spark, rows) == brute(rows, 10)
+    assert sent[0] == 24 and sent[1] < 24 * 24 / 2  # of 24 queries and as many shards
+
+
 def test_pages_are_pruned():
     rng = np.random.default_rng(3)
     data = (rng.normal(size=(40, 6))[rng.integers(0, 40, 6000)] * 1000 + rng.normal(size=(6000, 6)) * 5).astype(np.int64)
