@@ -3,7 +3,7 @@
 A document's ids, with an end id, are cut where a rolling hash of the last RING ids has its lowest bits clear, so equal stretches of
 different documents give equal chunks. The store has two Parquet tables:
 
-    chunks/   digest (SHA-256 of data), data: one byte for the width of an id, 2 or 4, then the ids, little-endian. Each digest once.
+    chunks/   digest (the first DIGEST bytes of the SHA-256 of data), data: one byte for the width of an id, 2 or 4, then the ids, little-endian. Each digest once.
     recipes/  __part, doc_id, n_tokens, digests, lengths, root (Merkle root of the digests), local_start; parts ascend by doc_id.
     manifest/ __part, the part's ids and its Merkle root over the documents' roots.
 
@@ -31,10 +31,12 @@ from emberlog.llm.words import mix, powers
 RING = 8
 #: A chunk ends where this many low bits of the rolling hash are clear, and after LONGEST ids at the latest.
 BITS, LONGEST = 8, 4096
+#: Bytes of a digest: 128 bits of SHA-256. Merkle nodes above the digests are whole SHA-256 hashes.
+DIGEST = 16
 #: Digests that a task remembers as sent, before it starts anew.
 REMEMBERED = 100_000
 
-DOC = "doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary, fresh array<struct<digest:binary,data:binary>>"
+DOC = "doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary, fresh array<struct<at:int,data:binary>>"
 
 
 def chunk_ends(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -55,6 +57,10 @@ def chunk_ends(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return ends
 
 
+def digest(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()[:DIGEST]
+
+
 def merkle(digests: list[bytes]) -> bytes:
     """Root over digests; an odd one at the end of a level goes up as it is."""
     level = list(digests)
@@ -72,7 +78,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _documents(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int) -> Iterator[pa.RecordBatch]:
-    pair = pa.struct([("digest", pa.binary()), ("data", pa.binary())])
+    pair = pa.struct([("at", pa.int32()), ("data", pa.binary())])  # at: place in the document's digests
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("root", pa.binary()), ("fresh", pa.list_(pair))])
     tokens, sent = chunks.word_ids(vocabulary), set()
     for batch in chunks.groups(batches):
@@ -83,7 +89,7 @@ def _documents(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int) ->
         small = len(ids) and int(ids.max()) < 65536
         body = ids.astype("<u2" if small else "<u4")
         datas = [b"\x02" + body[a:b].tobytes() if small else packed(body[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
-        digests = [hashlib.sha256(x).digest() for x in datas]
+        digests = [digest(x) for x in datas]
         if len(sent) > REMEMBERED:
             sent = set()
         new = []
@@ -91,8 +97,10 @@ def _documents(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int) ->
             if d not in sent:
                 sent.add(d)
                 new.append(k)
-        pairs = pa.StructArray.from_arrays([pa.array([digests[k] for k in new], pa.binary()), pa.array([datas[k] for k in new], pa.binary())], fields=list(pair))
-        fresh = pa.ListArray.from_arrays(pa.array(np.searchsorted(new, first).astype(np.int32)), pairs)
+        spans = np.searchsorted(new, first)
+        at = np.array(new, dtype=np.int64) - np.repeat(first[:-1], np.diff(spans))
+        pairs = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array([datas[k] for k in new], pa.binary())], fields=list(pair))
+        fresh = pa.ListArray.from_arrays(pa.array(spans.astype(np.int32)), pairs)
         lists = pa.array(first.astype(np.int32))
         yield frames.batch(
             schema, doc_id=batch.column(0), n_tokens=np.diff(offsets), digests=pa.ListArray.from_arrays(lists, pa.array(digests, pa.binary())), lengths=pa.ListArray.from_arrays(lists, pa.array((ends - starts).astype(np.int32))),
@@ -139,7 +147,7 @@ def write(df: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end:
     docs = frames.documents(df, id_col, text_col)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     made = frames.staged(docs.mapInArrow(lambda it: _documents(it, vocabulary, end), DOC), "tokenised")
-    fresh = made.select(F.explode("fresh").alias("x")).select("x.digest", "x.data")
+    fresh = made.select(F.explode(F.transform("fresh", lambda x: F.struct(F.get("digests", x["at"]).alias("digest"), x["data"].alias("data")))).alias("x")).select("x.digest", "x.data")
     fresh.repartition(parts, "digest").mapInArrow(_once, "digest binary, data binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
     ranged = made.drop("fresh").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     ranged.mapInArrow(_local_starts, "doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary, local_start long, __part int").write.option("compression", "zstd").parquet(f"{path}/recipes")
@@ -180,7 +188,7 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digests, datas = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for d, x in zip(digests, datas):
-            if hashlib.sha256(x).digest() != d:
+            if digest(x) != d:
                 raise ValueError(f"chunk {d.hex()} is damaged")
         yield frames.batch(schema, digest=batch.column(0), crc=[zlib.crc32(unpacked(x).tobytes()) for x in datas], n=[(len(x) - 1) // x[0] for x in datas])
 
