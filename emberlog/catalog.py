@@ -6,10 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog import cli, render
 from emberlog.engine import Engine
+from emberlog.sources import lines
+from emberlog.sources.shared import shared_folder
 
 NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
 #: Order of arrival of each table.
@@ -130,8 +133,116 @@ NAMED: dict[str, Named] = {
     "conv_stats": Named("conversations", "| stats count(), count_distinct(conv_id) by role", "SELECT role, count(*) AS count, count(DISTINCT conv_id) AS count_distinct_conv_id FROM conversations GROUP BY 1"),
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(NAMED)
-ORACLE_SQL: dict[str, str] = {name: q.sql for name, q in NAMED.items()}
+
+def _written(spark: SparkSession, sf_dir: str, **bodies: tuple[Column, Column, bool]) -> list[str]:
+    """Folders of text files made of events: for each name a line, the events that it is made of, and whether files are packed."""
+    events, folder, out = spark.read.parquet(f"{sf_dir}/events.parquet"), shared_folder(spark, "catalog"), []
+    for name, (line, which, packed) in bodies.items():
+        out.append(f"{folder}/{name}")
+        events.filter(which).select(line.alias("line")).write.option("compression", "gzip" if packed else "none").text(out[-1])
+    return out
+
+
+def _object(**members: Column | str) -> Column:
+    """A JSON line; members whose value is null stay out."""
+    return F.to_json(F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in members.items()]))
+
+
+_EACH = F.col("event_id") % 4
+
+
+def files_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of JSON lines, packed logfmt and plain text, told apart by their content."""
+    third = F.col("event_id") % 3
+    logfmt = F.concat(F.lit("event_type="), "event_type", F.lit(" event_id="), F.col("event_id").cast("string"))
+    plain = F.concat(F.lit("saw "), "event_type", F.lit(", number "), F.col("event_id").cast("string"))
+    paths = _written(spark, sf_dir, objects=(_object(event_type="event_type", event_id="event_id"), third == 0, False), pairs=(logfmt, third == 1, True), texts=(plain, third == 2, False))
+    return Engine(spark).files('exists(event_type) or msg ~ "^saw click" | stats count(), count_distinct(event_id), max(msg) by event_type', paths).df
+
+
+def files_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timestamps as texts, as seconds and milliseconds since 1970, under several names, and none at all."""
+    seconds = F.unix_timestamp("ts")
+    line = F.when(_EACH == 0, _object(time=seconds)).when(_EACH == 1, _object(timestamp=seconds * 1000)).when(_EACH == 2, _object(ts=F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))).otherwise(_object(at=seconds))
+    return Engine(spark).files("| stats count() every 24h", _written(spark, sf_dir, lines=(line, F.lit(True), False))).df
+
+
+def files_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of lines with keys that repeat on two levels, of lines that are no objects, and of timestamps that can't be read."""
+    number = F.col("event_id").cast("string")
+    repeated = F.concat(F.lit('{"a":'), number, F.lit(',"a":{"b":1,"b":2}}'))
+    line = F.when(_EACH == 0, repeated).when(_EACH == 1, F.concat(F.lit("["), number, F.lit("]"))).when(_EACH == 2, F.concat(F.lit('{"ts":"no time","n":'), number, F.lit("}"))).otherwise(F.lit(""))
+    found = lines.read(spark, _written(spark, sf_dir, lines=(line, F.lit(True), False)), lines.Options(format="jsonl"))
+    return found.counters().select("lines", "malformed", "empty", "dup_keys", "ts_unparsed")
+
+
+def sort_mixed_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, then texts, then absent values; equal ones in order of arrival."""
+    line = F.when(_EACH == 0, _object(event_id="event_id", v="value")).when(_EACH == 1, _object(event_id="event_id", v="event_type")).otherwise(_object(event_id="event_id"))
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id < 400").select(line.alias("line"), F.col("event_id").alias("at"))
+    out = Engine(spark).lines("| sort v limit 250 | fields event_id", df, "line", "at").df
+    return out.select(F.try_variant_get("event_id", "$", "bigint").alias("event_id"))
+
+
+def stats_dynamic_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that only some rows have, under names that come from the data."""
+    line = F.to_json(F.create_map(F.concat(F.lit("n_"), "event_type"), F.col("user_id")))
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select(line.alias("line"), F.col("event_id").alias("at"))
+    return Engine(spark).lines("| stats count(), sum(n_click), max(n_view), count_distinct(n_error), count_distinct(n_none)", df, "line", "at").df.withColumn("sum_n_click", F.col("sum_n_click").cast("long"))
+
+
+def stats_own_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table whose columns have the names that an engine might give its own."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("event_type").alias("__by0"), (F.col("user_id") % 3).alias("__window"), F.col("value").alias("__n"))
+    return Engine(spark).table("__n > 10 | stats count(), min(__n), p50(__n) by __window, __by0", df, ("event_id",)).df
+
+
+def render_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a result as CSV, with their numbers."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = b"".join(render.write(Engine(spark).table("| stats count(), count_distinct(user_id) by event_type", events, ("event_id",)), "csv")).decode()
+    return spark.createDataFrame(list(enumerate(text.split("\r\n")[:-1])), "number long, line string")
+
+
+def render_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a result over lines as JSON, with their numbers."""
+    paths = _written(spark, sf_dir, lines=(_object(kind="event_type", n="event_id"), F.col("event_id") < 100, False))
+    text = b"".join(render.write(Engine(spark).files("| stats count(), max(n) by kind", paths), "jsonl")).decode()
+    return spark.createDataFrame(list(enumerate(text.splitlines())), "number long, line string")
+
+
+def cli_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole run of the command line over a folder: the first lines that match, as they are."""
+    import io
+
+    line, out = _object(event_id="event_id", event_type="event_type"), io.BytesIO()
+    folder = shared_folder(spark, "catalog")
+    spark.read.parquet(f"{sf_dir}/events.parquet").select(line.alias("line"), "event_id").repartitionByRange(3, "event_id").sortWithinPartitions("event_id").select("line").write.text(folder + "/lines")
+    code = cli.main(['event_type == "error" | limit 25', folder + "/lines"], io.BytesIO(), out, io.StringIO(), spark)
+    return spark.createDataFrame([(code, x) for x in out.getvalue().decode().splitlines()], "code int, line string")
+
+
+_QUARTER, _SECONDS = "event_id % 4", "date_trunc('second', ts)"
+MADE: dict[Callable[[SparkSession, str], DataFrame], str] = {
+    files_mixed: """
+        SELECT event_type, count(*) AS count, count(DISTINCT event_id) AS count_distinct_event_id, CAST(NULL AS VARCHAR) AS max_msg FROM events WHERE event_id % 3 < 2 GROUP BY 1
+        UNION ALL SELECT NULL, count(*), 0, max('saw ' || event_type || ', number ' || event_id) FROM events WHERE event_id % 3 = 2 AND event_type = 'click'""",
+    files_timestamps: f"SELECT CASE WHEN {_QUARTER} = 3 THEN '(no-ts)' ELSE {LABEL.format('date_trunc(' + chr(39) + 'day' + chr(39) + ', ts)')} END AS window, count(*) AS count FROM events GROUP BY 1",
+    files_counters: f"SELECT count(*) FILTER ({_QUARTER} < 3) AS lines, count(*) FILTER ({_QUARTER} = 1) AS malformed, count(*) FILTER ({_QUARTER} = 3) AS empty, 2 * count(*) FILTER ({_QUARTER} = 0) AS dup_keys, count(*) FILTER ({_QUARTER} = 2) AS ts_unparsed FROM events",
+    sort_mixed_kinds: f"SELECT event_id FROM events WHERE event_id < 400 ORDER BY CASE {_QUARTER} WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, CASE WHEN {_QUARTER} = 0 THEN value END, CASE WHEN {_QUARTER} = 1 THEN event_type END, event_id LIMIT 250",
+    stats_dynamic_keys: "SELECT count(*) AS count, CAST(sum(user_id) FILTER (event_type = 'click') AS BIGINT) AS sum_n_click, CAST(max(user_id) FILTER (event_type = 'view') AS VARCHAR) AS max_n_view, count(DISTINCT user_id) FILTER (event_type = 'error') AS count_distinct_n_error, 0 AS count_distinct_n_none FROM events",
+    stats_own_names: "SELECT user_id % 3 AS __window, event_type AS __by0, count(*) AS count, min(value) AS min___n, quantile_disc(value, 0.5) AS p50___n FROM events WHERE value > 10 GROUP BY 1, 2",
+    render_csv: """
+        SELECT 0 AS number, 'event_type,count,count_distinct_user_id' AS line
+        UNION ALL SELECT row_number() OVER (ORDER BY event_type), event_type || ',' || count(*) || ',' || count(DISTINCT user_id) FROM events GROUP BY event_type""",
+    render_jsonl: """
+        SELECT row_number() OVER (ORDER BY event_type) - 1 AS number, '{"kind":"' || event_type || '","count":' || count(*) || ',"max_n":' || max(event_id) || '}' AS line
+        FROM events WHERE event_id < 100 GROUP BY event_type""",
+    cli_limit: """SELECT 0 AS code, '{"event_id":' || event_id || ',"event_type":"error"}' AS line FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 25""",
+}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**NAMED, **{f.__name__: f for f in MADE}}
+ORACLE_SQL: dict[str, str] = {**{name: q.sql for name, q in NAMED.items()}, **{f.__name__: sql for f, sql in MADE.items()}}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

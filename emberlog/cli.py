@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import argparse
 import os
+import signal
 import sys
 import tempfile
+import threading
+from contextlib import contextmanager
 from dataclasses import replace
 from typing import BinaryIO, TextIO
 
 from emberlog.plans.errors import QueryError
+from emberlog.plans.nodes import Limit, Query, Sort, Stats
 from emberlog.plans.parser import MAX_QUERY, parse
 
 OK, USAGE, COMPILE, DATA, IO, INTERRUPTED = 0, 1, 2, 3, 4, 130
@@ -37,6 +41,7 @@ def arguments() -> argparse.ArgumentParser:
     add("-max-groups", "--max-groups", type=int, default=10_000)
     add("-max-sample", "--max-sample", type=int, default=100_000)
     add("-seed", "--seed", type=int, default=0, help="accepted; percentiles are exact")
+    add("-sketch", "--sketch", action="store_true", help="percentiles from a sketch of fixed size")
     add("-levels", "--levels", default="")
     add("-max-depth", "--max-depth", type=int, default=32)
     add("-max-line", "--max-line", type=int, default=1 << 20)
@@ -91,6 +96,33 @@ def summary(lines: dict[str, int], overflowed: int) -> str | None:
 
 def main(argv: list[str] | None = None, stdin: BinaryIO | None = None, stdout: BinaryIO | None = None, stderr: TextIO | None = None, spark=None) -> int:
     stdin, stdout, stderr = stdin or sys.stdin.buffer, stdout or sys.stdout.buffer, stderr or sys.stderr
+    with _signals():
+        return _guarded(argv, stdin, stdout, stderr, spark)
+
+
+@contextmanager
+def _signals():
+    """The first SIGINT or SIGTERM ends the run in good order, with what was given out so far; a second one ends the process at once."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+    came: list[int] = []
+
+    def stop(number, _frame) -> None:
+        came.append(number)
+        if len(came) > 1:
+            os._exit(INTERRUPTED)
+        raise KeyboardInterrupt
+
+    before = {n: signal.signal(n, stop) for n in (signal.SIGINT, signal.SIGTERM)}
+    try:
+        yield
+    finally:
+        for n, handler in before.items():
+            signal.signal(n, handler)
+
+
+def _guarded(argv, stdin: BinaryIO, stdout: BinaryIO, stderr: TextIO, spark) -> int:
     try:
         return _run(sys.argv[1:] if argv is None else argv, stdin, stdout, stderr, spark)
     except Usage as e:
@@ -100,6 +132,7 @@ def main(argv: list[str] | None = None, stdin: BinaryIO | None = None, stdout: B
         print(e, file=stderr)
         return COMPILE
     except KeyboardInterrupt:
+        stdout.flush()
         print("emberlog: interrupted", file=stderr)
         return INTERRUPTED
     except BrokenPipeError:
@@ -133,7 +166,7 @@ def _run(argv: list[str], stdin: BinaryIO, stdout: BinaryIO, stderr: TextIO, spa
     from emberlog.engine import Result, Settings, bound, run
     from emberlog.sources import lines as sources
 
-    settings = Settings(args.tz, None, args.since, args.until, levels(args.levels), args.max_groups, args.max_sample, args.max_query)
+    settings = Settings(args.tz, None, args.since, args.until, levels(args.levels), args.max_groups, args.max_sample, args.max_query, args.sketch)
     for b in (args.since, args.until):
         if b is not None:
             try:
@@ -151,8 +184,9 @@ def _run(argv: list[str], stdin: BinaryIO, stdout: BinaryIO, stderr: TextIO, spa
             raise Usage("watch mode needs files")
         return watch(spark, query, rest, args, settings, stdout, stderr)
     paths = [_spooled(stdin, spark) if p == "-" else p for p in rest or ["-"]]
+    gathers = any(isinstance(s, (Sort, Stats)) for s in query.stages)
     try:
-        found = sources.read(spark, paths, sources.Options(args.format, args.max_line, args.max_depth, args.tz))
+        found = sources.read(spark, paths, sources.Options(args.format, args.max_line, args.max_depth, args.tz), in_order=not gathers)
     except sources.InputError as e:
         print(f"emberlog: {e}", file=stderr)
         return IO
@@ -164,32 +198,59 @@ def _run(argv: list[str], stdin: BinaryIO, stdout: BinaryIO, stderr: TextIO, spa
 
             at = first[0]["__seq"]
             early = rows.where(F.col("__seq") < F.struct(F.lit(at["file"]).alias("file"), F.lit(at["block"]).alias("block"), F.lit(at["id"]).alias("id")))
-            plain = not any(type(s).__name__ in ("Sort", "Stats") for s in query.stages)
-            if plain:
+            if not gathers:
                 _emit(Result(query, run(query, early, settings)), args.output, stdout)
             print("emberlog: aborted: --on-error stop", file=stderr)
             print("oversized line" if first[0]["__oversized"] else f"malformed line: {first[0]['__line'][:200]}", file=stderr)
             return DATA
     try:
-        result = Result(query, run(query, replace(rows, notes={"lines": found}), settings))
-        _emit(result, args.output, stdout)
-        overflowed = _overflowed(result)
-        seen = found.counters.collect()[0].asDict()
-        if settings.since or settings.until:
-            bounded = run(replace(query, filter=None, stages=()), rows, settings)
-            seen["window_dropped"] = rows.df.count() - bounded.df.count()
+        counted = args.on_error != "skip" and not args.quiet
+        seen = _answer(query, found, settings, args.output, stdout, counted)
     except Exception as e:
         if isinstance(e, (KeyboardInterrupt, BrokenPipeError, QueryError)):
             raise
-        print(f"emberlog: read error: {str(e).splitlines()[0][:300]}", file=stderr)
-        return IO
-    said = summary(seen, overflowed)
-    if said and args.on_error != "skip" and not args.quiet:
-        color = seen.get("malformed") and not args.no_color and not os.environ.get("NO_COLOR") and stderr.isatty()
-        print(f"emberlog: \x1b[31m{said}\x1b[0m" if color else f"emberlog: {said}", file=stderr)
+        said = (str(e).splitlines() or [type(e).__name__])[0][:300]
+        print(f"emberlog: read error: {said}" if _is_io(e) else f"emberlog: failed: {said}", file=stderr)
+        return IO if _is_io(e) else USAGE
+    said = summary(seen, seen.get("overflowed", 0)) if counted else None
+    if said:
+        color = not args.no_color and not os.environ.get("NO_COLOR") and stderr.isatty()
+        code = 31 if seen.get("malformed") or seen.get("oversized") else 33
+        print(f"emberlog: \x1b[{code}m{said}\x1b[0m" if color else f"emberlog: {said}", file=stderr)
     return OK
 
 
+def _answer(query: Query, found, settings, output: str, stdout: BinaryIO, counted: bool) -> dict:
+    """Give out a result and return its counters.
+
+    Groups bring the counters along in the pass that makes them. A limit over lines ends the scan when it is reached, so there are no
+    counters of all lines; other results take a pass for them.
+    """
+    from pyspark.sql import Observation
+
+    from emberlog.engine import Result, bounds, run
+
+    seen: dict = {}
+    within = bounds(found.rows, settings, settings.context().now)
+    if any(isinstance(s, Stats) for s in query.stages):
+        observation = Observation()
+        rows = found.observed(observation, within) if counted else found.rows
+        _emit(Result(query, run(query, rows, settings)), output, stdout, seen=seen)
+        return {**(observation.get if counted else {}), **seen}
+    if query.stages and isinstance(query.stages[-1], Limit) and found.rows.notes.get("in_order"):
+        head = replace(query, stages=query.stages[:-1])
+        _emit(Result(query, run(head, found.rows, settings)), output, stdout, first=query.stages[-1].n)
+        return seen
+    _emit(Result(query, run(query, found.rows, settings)), output, stdout)
+    return found.counters(within).collect()[0].asDict() if counted else seen
+
+
+def _is_io(error: Exception) -> bool:
+    """Whether reading the input failed: an exception of java.io or of unpacking, also as a cause of others."""
+    text = str(error)
+    return isinstance(error, OSError) or any(x in text for x in ("java.io.", "java.util.zip.", "FAILED_READ_FILE", "java.nio.file."))
+
+
 def _joined(argv: list[str]) -> list[str]:
     """-w takes a value only as -w=SECONDS."""
     out = []
@@ -219,16 +280,10 @@ def _patterns(node) -> None:
         _patterns(node.inner)
 
 
-def _overflowed(result) -> int:
-    if not result.rows.notes.get("overflowed"):
-        return 0
-    return sum(r[0] for r in result.rows.df.filter("__is_other").select("__n").collect())
-
-
-def _emit(result, output: str, stdout: BinaryIO) -> None:
+def _emit(result, output: str, stdout: BinaryIO, first: int | None = None, seen: dict | None = None) -> None:
     from emberlog import render
 
-    for part in render.write(result, output):
+    for part in render.write(result, output, first, seen):
         stdout.write(part)
     stdout.flush()
 

@@ -66,14 +66,22 @@ def bound(text: str, now: int | Column) -> int | Column:
     return times.now_micros(at.astimezone(timezone.utc))
 
 
+def bounds(rows: Rows, settings: Settings, now: int | Column) -> Column | None:
+    """Condition of the rows that since and until keep."""
+    ts, out = rows.resolver.resolve(Path(("ts",))), None
+    for op, text in ((">=", settings.since), ("<=", settings.until)):
+        if text is not None:
+            at = bound(text, now)
+            one = ts.compare(op, at) if ts.present is not False else F.lit(False)
+            out = one if out is None else out & one
+    return out
+
+
 def run(query: Query, rows: Rows, settings: Settings = Settings(), streaming: bool = False) -> Rows:
     """The rows after the bounds, the filter and the stages of a query."""
     context = settings.context(streaming)
-    ts = rows.resolver.resolve(Path(("ts",)))
-    for op, text in ((">=", settings.since), ("<=", settings.until)):
-        if text is not None:
-            at = bound(text, context.now)
-            rows = rows.where(ts.compare(op, at) if ts.present is not False else F.lit(False))
+    within = bounds(rows, settings, context.now)
+    rows = rows if within is None else rows.where(within)
     if query.filter is not None:
         rows = rows.where(condition(query.filter, rows.resolver, context))
     for stage in query.stages:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -52,12 +53,12 @@ def stats(rows: Rows, stage: Stats, max_groups: int | None = MAX_GROUPS, max_sam
     for k, (v, as_is) in enumerate(zip(values, plain)):
         df = df.withColumn(f"__by{k}", (v.sound() if isinstance(v, Typed) else v.native()) if as_is else _key(v))
     group = (["__window"] if window is not None else []) + [f"__by{k}" for k in range(len(values))]
+    lines = resolver.root is not None
+    guarded = max_groups is not None and bool(group) and not streaming
     overflowed = False
-    if max_groups is not None and group and not streaming:
+    if guarded and not lines:
         # looks at the keys alone, so a scan of a table reads only their columns
         overflowed = df.select(*group).distinct().limit(max_groups + 1).count() > max_groups
-    if overflowed:
-        df, group = _guarded(df, group, arrival, max_groups), [*group, "__is_other"]
     aggregates: list[Column] = [F.count(F.lit(1)).alias("__n")]
     for k, (v, as_is) in enumerate(zip(values, plain)):
         if not as_is:
@@ -71,7 +72,19 @@ def stats(rows: Rows, stage: Stats, max_groups: int | None = MAX_GROUPS, max_sam
         made, out = _function(f, n, value, resolver, arrival, max_sample, sketch, streaming)
         aggregates += made
         finish += out
-    grouped = df.groupBy(*group).agg(*aggregates) if group else df.agg(*aggregates)
+    kept = None
+    if guarded and lines:
+        # decoding lines costs more than all else, so the groups are made once, kept, and counted; they are the result but for the guard
+        kept = df.groupBy(*group).agg(*aggregates).persist()
+        overflowed = kept.count() > max_groups
+    if overflowed:
+        if kept is not None:
+            kept.unpersist()
+            kept = None
+        df, group = _guarded(df, group, arrival, max_groups), [*group, "__is_other"]
+    grouped = kept if kept is not None else df.groupBy(*group).agg(*aggregates) if group else df.agg(*aggregates)
+    if kept is not None:
+        weakref.finalize(kept, kept._jdf.unpersist, False)
     other = F.col("__is_other") if overflowed else F.lit(False)
     texts, names = [], []
     if window is not None:
@@ -113,7 +126,7 @@ def stats(rows: Rows, stage: Stats, max_groups: int | None = MAX_GROUPS, max_sam
     notes = {f.column: f"__note{n}" for n, f in enumerate(stage.functions)}
     return replace(
         rows, df=df if streaming or not group else df.orderBy(*order), resolver=Resolver(kinds, None, "missing", resolver.tz), columns=tuple(names), inner=inner, arrival=("__is_other", "__key"), raw=None, codes=codes, sorted_by=order,
-        notes={**rows.notes, "columns": notes, "functions": {f.column: f.function for f in stage.functions}, "overflowed": overflowed},
+        notes={**rows.notes, "columns": notes, "functions": {f.column: f.function for f in stage.functions}, "overflowed": overflowed if guarded or not group else None, "kept": kept, "in_order": False},
     )
 
 
@@ -124,7 +137,8 @@ def _guarded(df: DataFrame, group: list[str], arrival: Column | None, most: int)
     match = F.lit(True)
     for n, g in enumerate(group):
         match = match & F.col(g).eqNullSafe(F.col(f"__kept{n}"))
-    joined = df.join(F.broadcast(kept) if most <= 100_000 else kept, match, "left").withColumn("__is_other", F.col("__known").isNull())
+    # sizes that are known at run time decide whether the keys are broadcast
+    joined = df.join(kept, match, "left").withColumn("__is_other", F.col("__known").isNull())
     for g in group:
         joined = joined.withColumn(g, F.when(~F.col("__is_other"), F.col(g)))
     return joined.drop("__known", *[f"__kept{n}" for n in range(len(group))])

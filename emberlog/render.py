@@ -91,23 +91,41 @@ def _shown(name: str, kind: T.DataType) -> Column:
     return source.cast("string") if isinstance(kind, (T.DateType, T.BinaryType, T.DecimalType)) else source
 
 
-def records(result: Result) -> Iterator[dict]:
-    """Rows as ordered dicts in their order; fields that are missing are left out."""
+def _fetched(result: Result, columns: list, first: int | None) -> Iterator:
+    """Rows in their order. first: only so many, from a scan in order, which ends as soon as it has them."""
+    rows = result.rows
+    if first is not None:
+        return iter(rows.df.select(*columns).take(first))
+    if "overflowed" in rows.notes:  # groups, which the guard bounds
+        return iter(rows.df.select(*columns).collect()) if rows.notes["overflowed"] is not None else rows.df.select(*columns).toLocalIterator()
+    if rows.sorted_by or not rows.arrival:
+        return rows.df.select(*columns).toLocalIterator()
+    if not rows.notes.get("in_order"):
+        return rows.df.orderBy(*rows.order).select(*columns).toLocalIterator()
+    # partitions follow one another already: all are worked on at once, and handed over one by one
+    parts = max(1, rows.df._jdf.queryExecution().toRdd().getNumPartitions())
+    whole = rows.df.select(*columns, *[c.alias(f"__at{k}") for k, c in enumerate(rows.order)], F.spark_partition_id().alias("__part"))
+    dealt = whole.repartitionById(parts, F.col("__part")).sortWithinPartitions(*[f"__at{k}" for k in range(len(rows.order))])
+    return dealt.toLocalIterator(prefetchPartitions=True)
+
+
+def records(result: Result, first: int | None = None, seen: dict | None = None) -> Iterator[dict]:
+    """Rows as ordered dicts in their order; fields that are missing are left out. seen: gets the number of rows in groups beyond the guard."""
     rows = result.rows
     if rows.columns == ("__v",):
-        ordered = rows.df if rows.sorted_by or not rows.arrival else rows.df.orderBy(*rows.order)
-        for r in ordered.select("__line").toLocalIterator():
+        for r in _fetched(result, [F.col("__line")], first):
             yield decoded(r[0])
         return
     schema = rows.df.schema
     places = dict(zip(rows.columns, rows.inner))
     kinds = {name: schema[c].dataType for name, c in places.items()}
-    hidden = [c for c in rows.df.columns if c.startswith(("__code_", "__note", "__is_other"))]
-    ordered = rows.df if rows.sorted_by or not rows.arrival else rows.df.orderBy(*rows.order)
+    hidden = [c for c in rows.df.columns if c.startswith(("__code_", "__note", "__is_other", "__n"))]
     notes, functions = rows.notes.get("columns", {}), rows.notes.get("functions", {})
-    for r in ordered.select(*[_shown(places[c], k).alias(places[c]) for c, k in kinds.items()], *hidden).toLocalIterator():
+    for r in _fetched(result, [*[_shown(places[c], k).alias(places[c]) for c, k in kinds.items()], *hidden], first):
         out = {}
         other = "__is_other" in hidden and r["__is_other"]
+        if other and seen is not None:
+            seen["overflowed"] = r["__n"]
         for c, kind in kinds.items():
             value: object = r[places[c]]
             if c in functions:
@@ -147,11 +165,9 @@ def _result(function: str, value: object, note: str, other: bool) -> object:
     return int(value) if note in ("i", "v") and float(value).is_integer() else value
 
 
-def raw(result: Result) -> Iterator[bytes]:
+def raw(result: Result, first: int | None = None) -> Iterator[bytes]:
     """Original lines."""
-    rows = result.rows
-    ordered = rows.df if rows.sorted_by or not rows.arrival else rows.df.orderBy(*rows.order)
-    for r in ordered.select(F.col("__line").cast("binary")).toLocalIterator():
+    for r in _fetched(result, [F.col("__line").cast("binary").alias("line")], first):
         yield bytes(r[0]) + b"\n"
 
 
@@ -193,12 +209,31 @@ def csv_text(found: Iterable[dict]) -> str:
     return out.getvalue()
 
 
-def write(result: Result, output: str) -> Iterator[bytes]:
+def write(result: Result, output: str, first: int | None = None, seen: dict | None = None) -> Iterator[bytes]:
     """Bytes of a result; raw lines turn into JSON lines once a stage has changed the rows."""
     if output == "raw" and not result.query.stages and result.rows.raw:
-        yield from raw(result)
+        yield from raw(result, first)
     elif output in ("raw", "jsonl"):
-        for line in jsonl(records(result)):
+        for line in jsonl(records(result, first, seen)):
             yield line.encode("utf-8", "surrogateescape")
     else:
-        yield (table if output == "table" else csv_text)(records(result)).encode()
+        yield (table if output == "table" else csv_text)(records(result, first, seen)).encode()
+
+
+def save(result: Result, path: str, output: str = "jsonl") -> None:
+    """Write a result as a folder of JSON lines or CSV, by the executors; a folder has its rows in no order beyond that of each file."""
+    columns = result.df.select(*[_plain(F.col(quoted(c)), t).alias(c) for c, t in zip(result.df.columns, [f.dataType for f in result.df.schema])])
+    writer = columns.write.option("ignoreNullFields", "true")
+    if output == "csv":
+        flat = [F.to_json(quoted(f.name)).alias(f.name) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType)) else F.col(quoted(f.name)) for f in columns.schema]
+        columns.select(*flat).write.option("header", "true").option("lineSep", "\r\n").option("escape", '"').csv(path)
+    elif output == "jsonl":
+        writer.json(path)
+    else:
+        raise ValueError(f"can't save as {output!r}: jsonl or csv")
+
+
+def _plain(source: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return times.label(times.column_micros(source, kind, "UTC"), "UTC")
+    return source

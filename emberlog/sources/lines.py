@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-import gzip
 import os
 import re
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions import times
 from emberlog.functions.text import let
 from emberlog.functions.values import STRING, Resolver, Variant, _get, column
 from emberlog.operators.rows import Rows
+from emberlog.sources.shared import shared_folder
 
 MAX_LINE, MAX_DEPTH = 1 << 20, 32
 SAMPLE = 64
+#: Bytes of a file that tell its format; files that a scan in order reads one by one.
+HEAD, SCANS = 1 << 20, 256
 FORMATS = ("auto", "jsonl", "logfmt", "plain")
 _SENTINEL = "\\u0001emberlog"
 #: One whole logfmt line, and one pair of it.
@@ -39,36 +41,98 @@ class InputError(Exception):
     """A file that can't be read."""
 
 
-@dataclass
+@dataclass(frozen=True)
 class Lines:
-    """Decoded rows, the lines that were not, and a row of counters, which takes a pass of its own."""
+    """Decoded rows, and all lines (__line, __seq, __v and marks) they come from."""
 
     rows: Rows
-    bad: DataFrame
-    counters: DataFrame
+    all: DataFrame
+
+    @property
+    def bad(self) -> DataFrame:
+        """The lines that were not decoded."""
+        return self.all.filter(F.col("__malformed") | F.col("__oversized"))
+
+    def metrics(self, within: Column | None = None) -> list[Column]:
+        """What counters count. within: the rows that bounds of time keep."""
+        present = F.exists(F.array(*[_candidate(c).source.isNotNull() for c in times.CANDIDATES]), lambda p: p)
+        count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+        row = F.col("__v").isNotNull()
+        return [
+            count(~F.col("__oversized") & ~F.col("__empty")).alias("lines"), count(F.col("__malformed")).alias("malformed"), count(F.col("__oversized")).alias("oversized"), count(F.col("__empty")).alias("empty"),
+            count(F.col("__dup")).alias("dup_keys"), count(row & F.col("__ts").isNull() & present).alias("ts_unparsed"),
+            count(row & ~F.coalesce(within, F.lit(False)) if within is not None else F.lit(0)).alias("window_dropped"),
+        ]
+
+    def counters(self, within: Column | None = None) -> DataFrame:
+        """A row of counters, which takes a pass of its own."""
+        return self.all.agg(*self.metrics(within))
+
+    def observed(self, observation: Observation, within: Column | None = None) -> Rows:
+        """The rows, whose first complete pass brings the counters along."""
+        return replace(self.rows, df=_good(self.all.observe(observation, *self.metrics(within))))
 
 
-def _head(path: str, size: int = 1 << 20) -> bytes:
-    """The first bytes of a local file, uncompressed; whole lines, where the file has more than them."""
-    out = b""
-    with gzip.open(path) if is_gzip(path) else open(path, "rb") as f:
+@dataclass(frozen=True)
+class File:
+    """A file in any store that Spark reads: what Spark calls it, its name in _metadata, and its first bytes, uncompressed."""
+
+    path: str
+    name: str
+    head: bytes
+    packed: bool
+
+
+def _head(start: bytes) -> bytes:
+    """The content of a file's first bytes; whole lines, where the file has more than these."""
+    out = start
+    if start[:2] == b"\x1f\x8b":
+        out, left = b"", start
         try:
-            while len(out) < size and (block := f.read(65536)):
-                out += block
-        except (EOFError, OSError, zlib.error):  # what can't be unpacked is an error of the read that follows
+            while left[:2] == b"\x1f\x8b" and len(out) < HEAD:  # members follow one another
+                z = zlib.decompressobj(31)
+                out += z.decompress(left, HEAD)
+                left = z.unused_data
+        except zlib.error:  # what can't be unpacked is an error of the read that follows
             pass
-    return out[: out.rfind(b"\n") + 1] if len(out) >= size and b"\n" in out else out
+    return out[: out.rfind(b"\n") + 1] if len(start) >= HEAD and b"\n" in out else out
 
 
-def _remote_head(spark: SparkSession, path: str) -> bytes:
-    """The first lines of a file that Spark alone can open."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    return "\n".join(r[0] for r in lines.filter("value <> ''").take(SAMPLE)).encode()
+def local_head(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return _head(f.read(HEAD))
 
 
-def is_gzip(path: str) -> bool:
-    with open(path, "rb") as f:
-        return f.read(2) == b"\x1f\x8b"
+def find(spark: SparkSession, paths: list[str], heads: bool = True) -> list[File]:
+    """The files of paths in order: a file, all files of a folder by name, or those that a pattern matches. Looks at stores through Hadoop."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out: list[File] = []
+    for given in paths:
+        plain = "://" not in given
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.io.File(os.path.abspath(given)).toURI() if plain else jvm.org.apache.hadoop.fs.Path(given).toUri())
+        system = path.getFileSystem(conf)
+        try:
+            if system.exists(path):
+                found = list(system.listStatus(path)) if system.getFileStatus(path).isDirectory() else [system.getFileStatus(path)]
+            else:
+                found = list(system.globStatus(path) or []) if any(c in given for c in "*?[{") else []
+        except Py4JJavaError as e:
+            raise InputError(f"open {given}: {e.java_exception.getMessage()}") from None
+        files = sorted((f.getPath() for f in found if f.isFile() and (len(found) == 1 or f.getPath().getName()[0] not in "._")), key=lambda f: f.getName())
+        if not files:
+            raise InputError(f"open {given}: no such file")
+        for f in files:
+            start = b""
+            if heads:
+                stream = system.open(f)
+                start = bytes(stream.readNBytes(HEAD))
+                stream.close()
+            out.append(File(re.sub(r"([\[\]{}*?\\])", r"\\\1", f.toString()), _name(f.toUri().toString()), _head(start), start[:2] == b"\x1f\x8b"))
+    return out
+
+
+def _name(uri: str) -> str:
+    return re.sub("^([A-Za-z0-9+.-]+):/+", r"\1:/", uri)
 
 
 def detect(head: bytes) -> str:
@@ -92,29 +156,33 @@ def detect(head: bytes) -> str:
     return "plain"
 
 
-def read(spark: SparkSession, paths: list[str], options: Options = Options()) -> Lines:
-    """Rows of files in the order of paths, then of lines."""
+def read(spark: SparkSession, paths: list[str], options: Options = Options(), in_order: bool = False) -> Lines:
+    """Rows of files in the order of paths, then of lines.
+
+    Files of one format are one scan, whose rows find their file's place by its name. in_order: a scan for each file, so that partitions
+    follow one another as the lines do; for files up to SCANS.
+    """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    for p in paths:
-        if "://" not in p and (not os.path.exists(p) or os.path.isdir(p)):
-            raise InputError(f"open {p}: no such file")
+    files = find(spark, paths)
+    files = [_renamed(spark, f) if f.packed and not f.path.endswith(".gz") else f for f in files]
+    kinds = [options.format if options.format != "auto" else detect(f.head) for f in files]
     parts: list[tuple[DataFrame, str]] = []
-    alike: dict[str, dict[str, int]] = {}  # files by format, which are read together
-    for number, p in enumerate(paths):
-        remote = "://" in p
-        kind = options.format if options.format != "auto" else detect(_remote_head(spark, p) if remote else _head(p))
-        if remote or p in alike.get(kind, {}):
-            parts.append((_text(spark, [p], F.lit(number)), kind))
-        elif is_gzip(p) and not p.endswith(".gz"):
-            parts.append((_misnamed(spark, p, number), kind))
+    alike: dict[str, dict[str, int]] = {}  # places of files by name and format
+    in_order = in_order and len(files) <= SCANS
+    for number, (f, kind) in enumerate(zip(files, kinds)):
+        if in_order or f.name in alike.get(kind, {}):
+            parts.append((_text(spark, [f.path], F.lit(number)), kind))
         else:
-            alike.setdefault(kind, {})[os.path.abspath(p)] = number
+            alike.setdefault(kind, {})[f.name] = number
     for kind, numbers in alike.items():
-        # the file's place in the list, from its name
-        name = F.regexp_replace(F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-        ordinal = F.lit(next(iter(numbers.values()))) if len(numbers) == 1 else F.try_element_at(F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair]), name)
-        parts.append((_text(spark, list(numbers), ordinal), kind))
-    return _decoded(parts, options)
+        own = [files[n].path for n in numbers.values()]
+        if len(own) == 1:
+            parts.append((_text(spark, own, F.lit(next(iter(numbers.values())))), kind))
+            continue
+        places = spark.createDataFrame(list(numbers.items()), "__name string, __file int")
+        parts.append((_text(spark, own, F.col("__file"), places), kind))
+    out = _decoded(parts, options)
+    return replace(out, rows=replace(out.rows, notes={"in_order": True})) if in_order else out
 
 
 def from_lines(df: DataFrame, line: str, order: str, options: Options) -> Lines:
@@ -124,26 +192,24 @@ def from_lines(df: DataFrame, line: str, order: str, options: Options) -> Lines:
     return _decoded([(lines, options.format)], options)
 
 
-def _text(spark: SparkSession, paths: list[str], ordinal: Column) -> DataFrame:
-    """Lines of files; ordinal: the file's place among all."""
-    lines = spark.read.option("lineSep", "\n").text(paths)
-    return lines.select(F.col("value").alias("__line"), F.struct(ordinal.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("__seq"))
-
-
-def _misnamed(spark: SparkSession, path: str, number: int) -> DataFrame:
-    """Lines of a gzip file whose name doesn't say so."""
+def _text(spark: SparkSession, paths: list[str], ordinal: Column, places: DataFrame | None = None) -> DataFrame:
+    """Lines of files; ordinal: the file's place among all, by its name in places."""
+    lines = spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_path").alias("path"))
+    if places is not None:
+        lines = lines.join(places, F.regexp_replace("path", "^([A-Za-z0-9+.-]+):/+", "$1:/") == F.col("__name"))
+    return lines.select(F.col("value").alias("__line"), F.struct(ordinal.alias("file"), "block", "id").alias("__seq"))
 
-    def unpack(batches: Iterator) -> Iterator:
-        import pandas as pd
 
-        for b in batches:
-            for content in b["content"]:
-                lines = gzip.decompress(content).decode("utf-8", "surrogateescape").encode("utf-8", "replace").decode().split("\n")
-                lines = lines[:-1] if lines and not lines[-1] else lines
-                yield pd.DataFrame({"__line": lines, "id": range(len(lines))})
-
-    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "__line string, id long")
-    return found.select("__line", F.struct(F.lit(number).alias("file"), F.lit(0).cast("long").alias("block"), "id").alias("__seq"))
+def _renamed(spark: SparkSession, file: File) -> File:
+    """A copy, in the shared folder, of a gzip file whose name hides that it is one; Spark goes by names."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source = jvm.org.apache.hadoop.fs.Path(re.sub(r"\\(.)", r"\1", file.path))
+    target = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark, 'unpacked')}/{source.getName()}.gz")
+    system = target.getFileSystem(conf)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, system, target, False, conf)
+    system.deleteOnExit(target.getParent())
+    target = system.makeQualified(target)
+    return replace(file, path=re.sub(r"([\[\]{}*?\\])", r"\\\1", target.toString()), name=_name(target.toUri().toString()))
 
 
 def readable(path: str) -> bool:
@@ -160,8 +226,9 @@ def _with_values(df: DataFrame, kind: str, options: Options) -> DataFrame:
     value = F.when(~F.col("__oversized") & ~F.col("__empty"), decode(F.col("__line"), kind, options.max_depth))
     # through a generator, which filters stay above: a line is decoded once however often a query looks at it
     df = df.select("*", F.explode(F.array(value)).alias("__v"))
-    keys = F.json_object_keys("__line")
-    dup = F.when(F.col("__v").isNotNull(), F.size(keys) - F.size(F.array_distinct(keys))).otherwise(F.lit(0)) if kind == "jsonl" else F.lit(0)
+    # keys of all levels, in the line and in what it was parsed to
+    keys = lambda text: F.regexp_count(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', '"'), F.lit(r'"\s*:'))
+    dup = F.when(F.col("__v").isNotNull(), keys(F.col("__line")) - keys(F.to_json("__v"))).otherwise(F.lit(0)) if kind == "jsonl" else F.lit(0)
     return df.withColumn("__dup", dup).withColumn("__malformed", ~F.col("__oversized") & ~F.col("__empty") & F.col("__v").isNull())
 
 
@@ -173,8 +240,12 @@ def _with_time(df: DataFrame, options: Options) -> DataFrame:
     return df.withColumn("__ts", F.get(F.array_compact(found), F.lit(0)))
 
 
+def _good(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("__v").isNotNull())
+
+
 def _rows(df: DataFrame, options: Options) -> Rows:
-    return Rows(df.filter(F.col("__v").isNotNull()), Resolver({}, "__v", "null", options.tz, ts="__ts"), ("__v",), ("__v",), ("__seq",), "__line")
+    return Rows(_good(df), Resolver({}, "__v", "null", options.tz, ts="__ts"), ("__v",), ("__v",), ("__seq",), "__line")
 
 
 def decoded_rows(df: DataFrame, kind: str, options: Options) -> Rows:
@@ -189,14 +260,7 @@ def _decoded(parts: list[tuple[DataFrame, str]], options: Options) -> Lines:
         df = _with_values(df, kind, options)
         good = df if good is None else good.unionByName(df)
     good = _with_time(good, options)
-    present = F.exists(F.array(*[_candidate(c).source.isNotNull() for c in times.CANDIDATES]), lambda p: p)
-    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    counters = good.agg(
-        count(~F.col("__oversized") & ~F.col("__empty")).alias("lines"), count(F.col("__malformed")).alias("malformed"), count(F.col("__oversized")).alias("oversized"), count(F.col("__empty")).alias("empty"),
-        count(F.col("__dup")).alias("dup_keys"), count(F.col("__v").isNotNull() & F.col("__ts").isNull() & present).alias("ts_unparsed"),
-    )
-    bad = good.filter(F.col("__malformed") | F.col("__oversized"))
-    return Lines(_rows(good, options), bad, counters)
+    return Lines(_rows(good, options), good)
 
 
 def _candidate(name: str) -> Variant:

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+#: Bytes of a file that a poll takes at most, but for a longer line; the next poll goes on behind them.
+POLL = 64 << 20
 SCHEMA = "line string, file int, at long"
 
 
@@ -43,7 +45,9 @@ def advance(path: str, before: list | None, fresh_from_start: bool) -> tuple[lis
         return [], [identity, start]
     with open(path, "rb") as f:
         f.seek(start)
-        body = f.read(size - start)
+        body = f.read(min(POLL, size - start))
+        while b"\n" not in body and len(body) < size - start:  # a line longer than that
+            body += f.read(min(len(body), size - start - len(body)))
     end = body.rfind(b"\n") + 1
     lines, at = [], start
     for line in body[:end].split(b"\n")[:-1]:

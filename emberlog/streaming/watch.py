@@ -7,8 +7,6 @@ of a stream is kept by its store and not by the driver.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -20,6 +18,7 @@ from emberlog.engine import Result, Settings, apply, run
 from emberlog.operators.rows import Rows
 from emberlog.plans.nodes import Query, Stats
 from emberlog.sources import lines
+from emberlog.sources.shared import shared_folder
 from emberlog.streaming.tail import tail
 
 
@@ -29,16 +28,6 @@ def decoded(stream: DataFrame, options: lines.Options) -> Rows:
     return lines.decoded_rows(found, options.format, options)
 
 
-def _state_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which executors share; a temporary one where that is unset and all runs on one machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/emberlog-watch-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="emberlog-watch-")
-
-
 def snapshots(stream: DataFrame, query: Query, settings: Settings, options: lines.Options, give: Callable[[Result], None], interval: float = 1.0, checkpoint: str | None = None) -> StreamingQuery:
     """Start a query over a stream; give gets a Result after each poll that brought rows."""
     at = next((k for k, s in enumerate(query.stages) if isinstance(s, Stats)), None)
@@ -62,7 +51,7 @@ def snapshots(stream: DataFrame, query: Query, settings: Settings, options: line
             give(Result(query, found))
 
     writer = streamed.df.writeStream.foreachBatch(batch).outputMode("complete" if at is not None and simple else "append")
-    return writer.option("checkpointLocation", checkpoint or _state_folder(stream.sparkSession)).trigger(processingTime=f"{interval} seconds").start()
+    return writer.option("checkpointLocation", checkpoint or shared_folder(stream.sparkSession, "watch")).trigger(processingTime=f"{interval} seconds").start()
 
 
 def watch(spark: SparkSession, query: Query, paths: list[str], args, settings: Settings, stdout, stderr, from_start: bool = False, stop_after: float | None = None) -> int:
@@ -71,7 +60,7 @@ def watch(spark: SparkSession, query: Query, paths: list[str], args, settings: S
 
     kind = args.format
     if kind == "auto":
-        heads = [lines._head(p) for p in paths if lines.readable(p)]
+        heads = [lines.local_head(p) for p in paths if lines.readable(p)]
         kinds = {lines.detect(h) for h in heads if h}
         kind = kinds.pop() if len(kinds) == 1 else "plain"
     options = lines.Options(kind, args.max_line, args.max_depth, settings.tz)

@@ -79,3 +79,57 @@ def test_errors(run, args, code, said):
 
 def test_query_from_a_file(run):
     assert run("-Q", "@q", "@i", files={"q": "\n cm >= 61\n and cm < 190 \n", "i": TIDES}) == (0, gauges(QUAY[0], QUAY[1], REEF[2]), "")
+
+
+def test_folders_patterns_and_stores(run, tmp_path):
+    (tmp_path / "day one").mkdir()
+    for name, rows in (("b [x].log", QUAY[:2]), ("a.log", REEF[:1]), (".hidden", QUAY), ("_SUCCESS", QUAY), ("z.bin", QUAY[3:])):
+        body = gauges(*rows).encode()
+        (tmp_path / "day one" / name).write_bytes(gzip.compress(body) if name == "z.bin" else body)
+    want = gauges(REEF[0], *QUAY[:2], QUAY[3])
+    assert run("exists(cm)", "@day one") == (0, want, "")
+    assert run("exists(cm)", f"file://{tmp_path}/day one/") == (0, want, "")
+    assert run("exists(cm)", "@day one/*.log")[1] == gauges(REEF[0], *QUAY[:2])
+    assert run("| stats count(), max(cm)", "@day one")[1] == '{"count":4,"max_cm":202}\n'
+    assert run("| sort cm desc limit 3", "@day one", "@day one/a.log")[1] == gauges(QUAY[3], QUAY[0], QUAY[1])
+    assert run("exists(cm)", "@day two/*.log")[0] == 4
+
+
+def test_repeated_keys_of_all_levels(run):
+    lines = '{"a":{"b":1,"b":2},"c":[{"d":1},{"d":1,"d":3}]}\n{"a":"\\"x\\":","b":",\\"b\\":"}\n{"a":1,"a":{"b":1}}\n{"e" : 1 , "f":[":","x",":"]}\n'
+    assert run("-f", "jsonl", "exists(a) or exists(e) | stats count()", "@i", files={"i": lines}) == (0, '{"count":4}\n', "emberlog: 4 line(s) read, 3 dup key(s)\n")
+
+
+def test_a_limit_reads_no_further_than_it_must(run, spark, tmp_path):
+    """Files behind the one that has enough rows aren't opened: here they can't be read at all."""
+    body = gauges(*[dict(cm=n) for n in range(50)])
+    broken = gzip.compress(body.encode())[:-30]
+    for k in range(8):
+        (tmp_path / f"f{k}.gz").write_bytes(gzip.compress(body.encode()) if k == 0 else broken)
+    files = [f"@f{k}.gz" for k in range(8)]
+    assert run("-f", "jsonl", "cm >= 7 | limit 3", *files) == (0, gauges(*[dict(cm=n) for n in (7, 8, 9)]), "")
+    code, _, said = run("-f", "jsonl", "cm >= 7 | stats count()", *files)
+    assert code == 4 and said.startswith("emberlog: read error")
+
+
+def test_counters_come_with_the_groups(run, spark, tmp_path):
+    """No pass over the lines beside the one that makes the groups."""
+    (tmp_path / "i").write_text(TIDES + "broken\n")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "")
+    assert run("-f", "jsonl", "--since", "2020-01-01T00:00:00Z", "| stats count() by station", "@i") == (0, "", "emberlog: 9 line(s) read, 1 malformed, 8 dropped by --since/--until\n")
+    stages = {s for j in tracker.getJobIdsForGroup("counted") for s in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext.setJobGroup("", "")
+    assert sum(1 for s in stages if (info := tracker.getStageInfo(s)) and info.numCompletedTasks) <= 6
+
+
+def test_results_as_folders(spark, tmp_path):
+    from emberlog import render
+    from emberlog.engine import Engine
+
+    (tmp_path / "i").write_text(TIDES)
+    found = Engine(spark).files("cm > 100 | fields station, cm", [str(tmp_path / "i")])
+    render.save(found, str(tmp_path / "out"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(gauges(*QUAY).splitlines())
+    render.save(Engine(spark).files("| stats count() by station", [str(tmp_path / "i")]), str(tmp_path / "csv"), "csv")
+    assert sorted(tuple(r) for r in spark.read.option("header", "true").csv(str(tmp_path / "csv")).collect()) == [("buoy 7", "1"), ("quay", "4"), ("reef", "3")]
