@@ -6,7 +6,7 @@ for each salt, and the last stage meets at most SALTS rows of any text, however
 
 Null and empty texts are equal texts. Null ids count in group_size; a group of null ids alone has keep_id null, and no row of it with
 a null id is kept but where a single row has that text. Rows that repeat an id with the same text are copies of one document: all of them are kept or dropped
-together. An empty table gives an empty result. Other columns play no part.
+together. Very long texts are compared whole, like all others. An empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations

@@ -2,11 +2,13 @@
 
 Each letter has a random vector of +1 and -1. An n-gram's vector binds (multiplies) its letters' vectors, each rotated by its place;
 a document bundles (adds) the vectors of all its n-grams; a language's prototype bundles the unit vectors of its training documents.
-The language whose prototype has the largest cosine with the document is the prediction, ties to the smaller name. A document's vector
+The language whose prototype has the largest cosine (to six places) with the document is the prediction, ties to the smaller name. A document's vector
 is the sum over its distinct n-grams of count x vector, so each distinct n-gram is bound once a batch.
 
 Null texts and texts without a letter are `und` with score 0. A text whose letters share nothing with any prototype scores 0 too and
-gets the first name. Without a training document all is `und`. Null ids are never held out. Rows may repeat. Texts are read whole.
+gets the first name. Without a training document all is `und`. Null ids are never held out. Rows may repeat, and each has its own result.
+Texts are read whole, very long ones too: a task holds one's n-grams and their counts. An empty table gives an empty result, and no
+languages. Columns beside id, text and language play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -95,8 +97,8 @@ class Encoder:
             if not letters.any():
                 yield None
                 continue
-            keep = letters | np.concatenate([[True], letters[:-1]])  # one gap between words
-            numbers = np.concatenate([[0], numbers[keep], [0]]).astype(np.int64)
+            keep = letters | np.concatenate([[False], letters[:-1]])  # one gap between words, one at either end
+            numbers = np.concatenate([[0], numbers[keep], [0][: int(letters[-1])]]).astype(np.int64)
             key = numbers[: len(numbers) - self.gram + 1]
             for place in range(1, self.gram):
                 key = (key << 20) | numbers[place : len(numbers) - self.gram + 1 + place]
@@ -174,7 +176,7 @@ def identify(df: DataFrame, names: list[str], table: np.ndarray, id_col: str = "
                 some = vectors.any(axis=1)
                 if names:
                     cosines = vectors @ matrix.T
-                    best = cosines.argmax(axis=1)
+                    best = np.round(cosines, 6).argmax(axis=1)
                     score = np.where(some, np.clip(cosines.max(axis=1).astype(np.float64), 0, 1), 0.0)
                     pred = [names[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist())]
                 else:

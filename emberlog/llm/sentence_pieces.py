@@ -4,7 +4,8 @@ No piece of a supported vocabulary has a white space marker behind another chara
 markers begins. A text is cut there; each distinct marked word is segmented once a task, and its ids return by position. A vocabulary
 that has such a piece, or a normaliser that changes text, is refused.
 
-Null and empty texts have no ids. Very long texts are handled whole. Rows may repeat; each has its own result. Null ids stay null.
+Null and empty texts have no ids. Very long texts are handled whole. Rows may repeat; each has its own result. Null ids stay null. An empty
+table gives an empty result. Columns beside id and text play no part, whatever their names.
 """
 
 from __future__ import annotations
