@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import statistics
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from emberlog import cli  # noqa: E402
 from emberlog.engine import Engine  # noqa: E402
 from emberlog.sources.lines import Options  # noqa: E402
 
@@ -36,22 +38,37 @@ def main() -> None:
     events.repartition(int(cpus)).select(body.alias("value")).write.mode("overwrite").text(f"{folder}/lines")
     files = sorted(os.path.join(folder, "lines", f) for f in os.listdir(f"{folder}/lines") if f.startswith("part-"))
     aggregate = "| stats count(), avg(value), p95(value) by event_type"
+    jsonl = Options(format="jsonl")
+
+    def whole(result) -> None:
+        result.df.write.format("noop").mode("overwrite").save()
+
+    def matches(result) -> None:
+        result.rows.df.select("__line").write.format("noop").mode("overwrite").save()
+
+    def command(*args: str) -> None:
+        """The command line as users run it: scan, renderer and counters."""
+        code = cli.main(["-f", "jsonl", *args, *files], io.BytesIO(), io.BytesIO(), io.StringIO(), spark)
+        assert code == 0, code
+
     queries = {
-        "filter": lambda: engine.table("value >= 100 and value < 200", events, ("event_id",)),
-        "aggregate": lambda: engine.table(aggregate, events, ("event_id",)),
-        "high_cardinality": lambda: engine.table("| stats count(), avg(l_extendedprice) by l_orderkey", lineitem, ("l_orderkey", "l_linenumber"), max_groups=None),
-        "top_k": lambda: engine.table("| stats count() by l_partkey | sort count desc limit 10", lineitem, ("l_orderkey", "l_linenumber"), max_groups=None),
-        "window": lambda: engine.table("| stats count(), max(value) by event_type every 1h", events, ("event_id",)),
-        "text_filter": lambda: engine.files("value >= 100 and value < 200", files, Options(format="jsonl")),
-        "text_aggregate": lambda: engine.files(aggregate, files, Options(format="jsonl")),
+        "filter": lambda: whole(engine.table("value >= 100 and value < 200", events, ("event_id",))),
+        "aggregate": lambda: whole(engine.table(aggregate, events, ("event_id",))),
+        "high_cardinality": lambda: whole(engine.table("| stats count(), avg(l_extendedprice) by l_orderkey", lineitem, ("l_orderkey", "l_linenumber"), max_groups=None)),
+        "top_k": lambda: whole(engine.table("| stats count() by l_partkey | sort count desc limit 10", lineitem, ("l_orderkey", "l_linenumber"), max_groups=None)),
+        "window": lambda: whole(engine.table("| stats count(), max(value) by event_type every 1h", events, ("event_id",))),
+        "text_filter": lambda: matches(engine.files("value >= 100 and value < 200", files, jsonl)),
+        "text_aggregate": lambda: whole(engine.files(aggregate, files, jsonl)),
+        "cli_filter": lambda: command("value >= 100 and value < 200"),
+        "cli_aggregate": lambda: command(aggregate),
+        "cli_limit": lambda: command("value >= 100 | limit 100"),
     }
     took = {}
     for name, query in queries.items():
         times = []
         for _ in range(RUNS + 1):  # the first run compiles
             start = time.perf_counter()
-            result = query()
-            (result.rows.df.select("__line") if name == "text_filter" else result.df).write.format("noop").mode("overwrite").save()
+            query()
             times.append(time.perf_counter() - start)
         took[name] = round(statistics.median(times[1:]), 4)
     print(json.dumps({"metric": "total of median query seconds", "value": round(sum(took.values()), 4), "unit": "sec", "queries": took, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1]}))

@@ -226,9 +226,12 @@ def _with_values(df: DataFrame, kind: str, options: Options) -> DataFrame:
     value = F.when(~F.col("__oversized") & ~F.col("__empty"), decode(F.col("__line"), kind, options.max_depth))
     # through a generator, which filters stay above: a line is decoded once however often a query looks at it
     df = df.select("*", F.explode(F.array(value)).alias("__v"))
-    # keys of all levels, in the line and in what it was parsed to
+    # keys of all levels, in the line and in what it was parsed to; as many colons in both tell quickly that none went
+    again = F.to_json("__v")
     keys = lambda text: F.regexp_count(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', '"'), F.lit(r'"\s*:'))
-    dup = F.when(F.col("__v").isNotNull(), keys(F.col("__line")) - keys(F.to_json("__v"))).otherwise(F.lit(0)) if kind == "jsonl" else F.lit(0)
+    colons = lambda text: F.length(text) - F.length(F.translate(text, ":", ""))
+    plain = (colons(F.col("__line")) == colons(again)) & ~F.contains(F.col("__line"), F.lit("\\u003"))
+    dup = F.when(F.col("__v").isNull() | plain, F.lit(0)).otherwise(keys(F.col("__line")) - keys(again)) if kind == "jsonl" else F.lit(0)
     return df.withColumn("__dup", dup).withColumn("__malformed", ~F.col("__oversized") & ~F.col("__empty") & F.col("__v").isNull())
 
 
@@ -255,8 +258,14 @@ def decoded_rows(df: DataFrame, kind: str, options: Options) -> Rows:
 
 
 def _decoded(parts: list[tuple[DataFrame, str]], options: Options) -> Lines:
-    good = None
+    runs: list[tuple[DataFrame, str]] = []  # files of one format that follow one another are decoded by one expression
     for df, kind in parts:
+        if runs and runs[-1][1] == kind:
+            runs[-1] = (runs[-1][0].unionByName(df), kind)
+        else:
+            runs.append((df, kind))
+    good = None
+    for df, kind in runs:
         df = _with_values(df, kind, options)
         good = df if good is None else good.unionByName(df)
     good = _with_time(good, options)
