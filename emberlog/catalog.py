@@ -167,6 +167,54 @@ def files_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).files("| stats count() every 24h", _written(spark, sf_dir, lines=(line, F.lit(True), False))).df
 
 
+def files_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timestamp texts of all layouts, those with an offset and those without, and integers as texts."""
+    text = lambda pattern: F.date_format("ts", pattern)
+    five = F.col("event_id") % 5
+    later = F.date_format(F.col("ts") + F.expr("INTERVAL '05:30' HOUR TO MINUTE"), "yyyy-MM-dd'T'HH:mm:ss,SSS")
+    layout = F.when(five == 0, F.concat(later, F.lit("+05:30"))).when(five == 1, text("yyyy/MM/dd HH:mm:ss")).when(five == 2, text("EEE, d MMM yyyy HH:mm:ss 'GMT'")).when(five == 3, text("dd/MMM/yyyy:HH:mm:ss +0000"))
+    line = _object(**{"@timestamp": layout.otherwise(F.unix_timestamp("ts").cast("string")), "value": "value"})
+    return Engine(spark).files("| stats count(), max(value) every 48h", _written(spark, sf_dir, lines=(line, F.lit(True), False))).df
+
+
+def watch_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last snapshot of groups over a stream that comes in several polls."""
+    from emberlog.engine import Settings
+    from emberlog.plans.parser import parse
+    from emberlog.streaming.watch import snapshots
+
+    folder, found = shared_folder(spark, "catalog"), []
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(3, "event_id").select(_object(kind="event_type", user="user_id").alias("line"), F.lit(0).alias("file"), F.col("event_id").alias("at")).write.parquet(folder + "/lines")
+    stream = spark.readStream.schema("line string, file int, at long").option("maxFilesPerTrigger", 1).parquet(folder + "/lines")
+    query = parse("user >= 10 | stats count(), max(user) by kind | sort count desc limit 3")
+    running = snapshots(stream, query, Settings(), lines.Options(format="jsonl"), lambda result: found.append(list(render.records(result))), 0.0, folder + "/state")
+    running.processAllAvailable()
+    running.stop()
+    return spark.createDataFrame([(k, r["kind"], r["count"], r["max_user"]) for k, r in enumerate(found[-1])], "place long, kind string, count long, max_user long")
+
+
+def render_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a result as a table whose percentile cells are marked, as there are more values than the sample that the language defines."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = b"".join(render.write(Engine(spark).table("| stats p50(user_id), count()", events, ("event_id",), max_sample=100), "table")).decode()
+    return spark.createDataFrame(list(enumerate(text.splitlines())), "number long, line string")
+
+
+def query_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where and how queries fail, and what they suggest."""
+    from emberlog.plans.errors import QueryError
+    from emberlog.plans.parser import parse
+
+    out = []
+    for query in ("value >", "value > 1 |", "| stat count()", "| stats count(), count()", "| limit 0", "value\n  ~ 3", "| fields a, a", "| stats sum(value) every 2us", "(value == 1", "1 in [2]"):
+        try:
+            parse(query)
+        except QueryError as e:
+            out.append((query, e.code, e.position.line, e.position.col, e.suggestion))
+    return spark.createDataFrame(out, "query string, code string, line int, col int, suggestion string")
+
+
 def files_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of lines with keys that repeat on two levels, of lines that are no objects, and of timestamps that can't be read."""
     number = F.col("event_id").cast("string")
@@ -228,6 +276,19 @@ MADE: dict[Callable[[SparkSession, str], DataFrame], str] = {
         SELECT event_type, count(*) AS count, count(DISTINCT event_id) AS count_distinct_event_id, CAST(NULL AS VARCHAR) AS max_msg FROM events WHERE event_id % 3 < 2 GROUP BY 1
         UNION ALL SELECT NULL, count(*), 0, max('saw ' || event_type || ', number ' || event_id) FROM events WHERE event_id % 3 = 2 AND event_type = 'click'""",
     files_timestamps: f"SELECT CASE WHEN {_QUARTER} = 3 THEN '(no-ts)' ELSE {LABEL.format('date_trunc(' + chr(39) + 'day' + chr(39) + ', ts)')} END AS window, count(*) AS count FROM events GROUP BY 1",
+    files_layouts: f"SELECT {LABEL.format('time_bucket(INTERVAL 2 DAY, ts, TIMESTAMP ' + chr(39) + '1970-01-01' + chr(39) + ')')} AS window, count(*) AS count, rtrim(rtrim(printf('%.2f', max(value)), '0'), '.') AS max_value FROM events GROUP BY 1",
+    watch_snapshots: """
+        SELECT row_number() OVER (ORDER BY count DESC, kind) - 1 AS place, * FROM (SELECT event_type AS kind, count(*) AS count, max(user_id) AS max_user FROM events WHERE user_id >= 10 GROUP BY 1)
+        ORDER BY count DESC, kind LIMIT 3""",
+    render_table: """
+        WITH r AS (SELECT quantile_disc(user_id, 0.5) || '*' AS p, CAST(count(*) AS VARCHAR) AS n FROM events)
+        SELECT 0 AS number, rpad('p50_user_id', CAST(greatest(11, len(p)) AS INTEGER), ' ') || '  ' || lpad('count', CAST(greatest(5, len(n)) AS INTEGER), ' ') AS line FROM r
+        UNION ALL SELECT 1, rpad(p, CAST(greatest(11, len(p)) AS INTEGER), ' ') || '  ' || lpad(n, CAST(greatest(5, len(n)) AS INTEGER), ' ') FROM r""",
+    query_errors: """
+        SELECT query, code, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col, suggestion FROM (VALUES
+            ('value >', 'E-PARSE', 1, 8, NULL), ('value > 1 |', 'E-PARSE', 1, 12, NULL), ('| stat count()', 'E-PARSE', 1, 3, 'stats'), ('| stats count(), count()', 'E-PARSE', 1, 18, NULL),
+            ('| limit 0', 'E-PARSE', 1, 9, NULL), ('value' || chr(10) || '  ~ 3', 'E-PARSE', 2, 5, NULL), ('| fields a, a', 'E-TYPE', 1, 13, NULL), ('| stats sum(value) every 2us', 'E-PARSE', 1, 26, NULL),
+            ('(value == 1', 'E-PARSE', 1, 12, NULL), ('1 in [2]', 'E-PARSE', 1, 3, NULL)) t(query, code, line, col, suggestion)""",
     files_counters: f"SELECT count(*) FILTER ({_QUARTER} < 3) AS lines, count(*) FILTER ({_QUARTER} = 1) AS malformed, count(*) FILTER ({_QUARTER} = 3) AS empty, 2 * count(*) FILTER ({_QUARTER} = 0) AS dup_keys, count(*) FILTER ({_QUARTER} = 2) AS ts_unparsed FROM events",
     sort_mixed_kinds: f"SELECT event_id FROM events WHERE event_id < 400 ORDER BY CASE {_QUARTER} WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, CASE WHEN {_QUARTER} = 0 THEN value END, CASE WHEN {_QUARTER} = 1 THEN event_type END, event_id LIMIT 250",
     stats_dynamic_keys: "SELECT count(*) AS count, CAST(sum(user_id) FILTER (event_type = 'click') AS BIGINT) AS sum_n_click, CAST(max(user_id) FILTER (event_type = 'view') AS VARCHAR) AS max_n_view, count(DISTINCT user_id) FILTER (event_type = 'error') AS count_distinct_n_error, 0 AS count_distinct_n_none FROM events",
