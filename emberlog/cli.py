@@ -226,6 +226,7 @@ def _answer(query: Query, found, settings, output: str, stdout: BinaryIO, counte
     Groups bring the counters along in the pass that makes them. A limit over lines ends the scan when it is reached, so there are no
     counters of all lines; other results take a pass for them.
     """
+    from py4j.protocol import Py4JJavaError
     from pyspark.sql import Observation
 
     from emberlog.engine import Result, bounds, run
@@ -236,12 +237,18 @@ def _answer(query: Query, found, settings, output: str, stdout: BinaryIO, counte
         observation = Observation()
         rows = found.observed(observation, within) if counted else found.rows
         _emit(Result(query, run(query, rows, settings)), output, stdout, seen=seen)
-        return {**(observation.get if counted else {}), **seen}
-    if query.stages and isinstance(query.stages[-1], Limit) and found.rows.notes.get("in_order"):
+        if not counted:
+            return seen
+        try:
+            return {**observation.get, **seen}
+        except Py4JJavaError:  # a filter that is false for all rows: Spark had no need to read them
+            pass
+    elif query.stages and isinstance(query.stages[-1], Limit) and found.rows.notes.get("in_order"):
         head = replace(query, stages=query.stages[:-1])
         _emit(Result(query, run(head, found.rows, settings)), output, stdout, first=query.stages[-1].n)
         return seen
-    _emit(Result(query, run(query, found.rows, settings)), output, stdout)
+    else:
+        _emit(Result(query, run(query, found.rows, settings)), output, stdout)
     return found.counters(within).collect()[0].asDict() if counted else seen
 
 

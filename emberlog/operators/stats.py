@@ -84,7 +84,7 @@ def stats(rows: Rows, stage: Stats, max_groups: int | None = MAX_GROUPS, max_sam
         df, group = _guarded(df, group, arrival, max_groups), [*group, "__is_other"]
     grouped = kept if kept is not None else df.groupBy(*group).agg(*aggregates) if group else df.agg(*aggregates)
     if kept is not None:
-        weakref.finalize(kept, kept._jdf.unpersist, False)
+        weakref.finalize(kept, kept._jdf.unpersist, False).atexit = False
     other = F.col("__is_other") if overflowed else F.lit(False)
     texts, names = [], []
     if window is not None:

@@ -133,3 +133,8 @@ def test_results_as_folders(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(gauges(*QUAY).splitlines())
     render.save(Engine(spark).files("| stats count() by station", [str(tmp_path / "i")]), str(tmp_path / "csv"), "csv")
     assert sorted(tuple(r) for r in spark.read.option("header", "true").csv(str(tmp_path / "csv")).collect()) == [("buoy 7", "1"), ("quay", "4"), ("reef", "3")]
+
+
+def test_filters_that_no_row_can_pass(run):
+    for query, out in (("1 == 2 | stats count()", '{"count":0}\n'), ("1 == 2 | stats count() by station", ""), ("1 == 2", "")):
+        assert run("-f", "jsonl", query, "@i", files={"i": TIDES + "broken\n"}) == (0, out, "emberlog: 9 line(s) read, 1 malformed\n")
