@@ -115,8 +115,9 @@ def dense_numbers(df: DataFrame, order: list, name: str) -> DataFrame:
     """Number rows from 0 in the given order: a range partitioning, then each partition's base from the partitions' counts."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part, row = free_names(df, "__part", "__row")
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    part, row, tie = free_names(df, "__part", "__row", "__tie")
+    order = [*order, F.col(tie)]  # equal rows, however many, are split too
+    ranged = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop(tie)
     local = staged(ranged.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(row)), "ranged")
     return with_bases(local, part, row, name)
 
