@@ -148,7 +148,9 @@ def _object(**members: Column | str) -> Column:
     return F.to_json(F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in members.items()]))
 
 
-_EACH = F.col("event_id") % 4
+def _each() -> Column:
+    """0 to 3 by turns."""
+    return F.col("event_id") % 4
 
 
 def files_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +165,7 @@ def files_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timestamps as texts, as seconds and milliseconds since 1970, under several names, and none at all."""
     seconds = F.unix_timestamp("ts")
-    line = F.when(_EACH == 0, _object(time=seconds)).when(_EACH == 1, _object(timestamp=seconds * 1000)).when(_EACH == 2, _object(ts=F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))).otherwise(_object(at=seconds))
+    line = F.when(_each() == 0, _object(time=seconds)).when(_each() == 1, _object(timestamp=seconds * 1000)).when(_each() == 2, _object(ts=F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))).otherwise(_object(at=seconds))
     return Engine(spark).files("| stats count() every 24h", _written(spark, sf_dir, lines=(line, F.lit(True), False))).df
 
 
@@ -219,14 +221,14 @@ def files_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of lines with keys that repeat on two levels, of lines that are no objects, and of timestamps that can't be read."""
     number = F.col("event_id").cast("string")
     repeated = F.concat(F.lit('{"a":'), number, F.lit(',"a":{"b":1,"b":2}}'))
-    line = F.when(_EACH == 0, repeated).when(_EACH == 1, F.concat(F.lit("["), number, F.lit("]"))).when(_EACH == 2, F.concat(F.lit('{"ts":"no time","n":'), number, F.lit("}"))).otherwise(F.lit(""))
+    line = F.when(_each() == 0, repeated).when(_each() == 1, F.concat(F.lit("["), number, F.lit("]"))).when(_each() == 2, F.concat(F.lit('{"ts":"no time","n":'), number, F.lit("}"))).otherwise(F.lit(""))
     found = lines.read(spark, _written(spark, sf_dir, lines=(line, F.lit(True), False)), lines.Options(format="jsonl"))
     return found.counters().select("lines", "malformed", "empty", "dup_keys", "ts_unparsed")
 
 
 def sort_mixed_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers, then texts, then absent values; equal ones in order of arrival."""
-    line = F.when(_EACH == 0, _object(event_id="event_id", v="value")).when(_EACH == 1, _object(event_id="event_id", v="event_type")).otherwise(_object(event_id="event_id"))
+    line = F.when(_each() == 0, _object(event_id="event_id", v="value")).when(_each() == 1, _object(event_id="event_id", v="event_type")).otherwise(_object(event_id="event_id"))
     df = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id < 400").select(line.alias("line"), F.col("event_id").alias("at"))
     out = Engine(spark).lines("| sort v limit 250 | fields event_id", df, "line", "at").df
     return out.select(F.try_variant_get("event_id", "$", "bigint").alias("event_id"))

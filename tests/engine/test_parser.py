@@ -82,3 +82,14 @@ def test_any_text_parses_or_fails_with_a_position(text):
         parse(text)
     except QueryError as e:
         assert e.position.line >= 1 and e.position.col >= 1
+
+
+def test_everything_imports_without_a_session():
+    """In a process of its own, where no session runs."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(__file__).parents[2], capture_output=True, text=True)
+    queries, sql = map(int, said.stdout.split())
+    assert queries >= sql > 60
