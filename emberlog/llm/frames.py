@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -32,28 +34,67 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: With this, Spark removes the shuffle files of a query when it ends, and not when the driver happens to collect its garbage.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables staged since the innermost settled() began.
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("_scope", default=None)
+
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREED) if before is None else spark.conf.set(_FREED, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back, which cuts its lineage. The files go when the application ends."""
+    """Write df as Parquet in the shared folder and read it back, which cuts its lineage. The files go when the application ends, or before
+    by settled() or dropped(); the shuffle files behind them go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/emberlog-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    scope = _scope.get()
+    if scope is not None:
+        scope.append(table)
+    return table
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """staged() of what make() returns; the files of all tables that make() staged go then."""
+    token = _scope.set(own := [])
+    try:
+        made = make()
+    finally:
+        _scope.reset(token)
+    out = staged(made, name)
+    dropped(*own)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables from staged() that nothing reads any more."""
+    for table in tables:
+        _quietly_removed(table.sparkSession, table._staged_at)
 
 
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
+    atexit.register(_quietly_removed, spark, path)
+
+
+def _quietly_removed(spark: SparkSession, path: str) -> None:
+    try:
         if spark.sparkContext._jsc is not None:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-    def quietly() -> None:
-        try:
-            remove()
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            pass
-
-    atexit.register(quietly)
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        pass
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

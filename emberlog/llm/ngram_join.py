@@ -306,7 +306,8 @@ def clusters(docs: DataFrame, heads: DataFrame, gram: int, percent: int) -> Data
     shared = shared.select(F.coalesce("segment", "key").alias("segment"), "doc_id", "kind", "need")
     rows = frames.staged(shared.join(heads, "doc_id", "left_semi"), "segments")
     for _ in range(2):
-        rows = frames.staged(_pruned(_shared(rows)), "segments")
+        wider, rows = rows, frames.staged(_pruned(_shared(rows)), "segments")
+        frames.dropped(wider)
     often = frames.staged(rows.groupBy("segment").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("often")).filter("often > 1"), "leaders")
     led = rows.join(often, "segment").groupBy("doc_id", "leader").agg(F.sum("often").alias("weight"))
     led = frames.staged(led, "led")  # a document and one leader of its segments
@@ -318,7 +319,7 @@ def clusters(docs: DataFrame, heads: DataFrame, gram: int, percent: int) -> Data
 def links(docs: DataFrame, heads: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) that connect the linked documents among heads (doc_id) of docs (doc_id, text)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    member = frames.staged(clusters(docs, heads, gram, percent), "clusters")
+    member = frames.settled(lambda: clusters(docs, heads, gram, percent), "clusters")
     made = docs.join(member, "doc_id").select("doc_id", "text", "cluster").mapInArrow(lambda it: _sets(it, gram), SETS_DDL)
     sets = frames.staged(made, "sets")
     # step 4: partial overlaps with the cluster's head, fragment by fragment
@@ -355,8 +356,12 @@ def links(docs: DataFrame, heads: DataFrame, gram: int = GRAM, percent: int = PE
 def near_components(df: DataFrame, gram: int = GRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest document that links reach, itself included) of each row."""
     docs, restore = frames.unique_ids(frames.documents(df, id_col, text_col))
-    known = frames.staged(classes(docs, gram), "classes")
-    heads = known.filter("n > 0 and doc_id = representative").select("doc_id")
-    label = components.components(links(docs, heads, gram, percent)).select(F.col("node").alias("representative"), F.col("label"))
-    out = known.join(label, "representative", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "representative").alias("component_id"))
-    return restore(out)
+
+    def found() -> DataFrame:
+        known = frames.settled(lambda: classes(docs, gram), "classes")
+        heads = known.filter("n > 0 and doc_id = representative").select("doc_id")
+        edges = frames.settled(lambda: links(docs, heads, gram, percent), "links")
+        label = components.components(edges).select(F.col("node").alias("representative"), F.col("label"))
+        return known.join(label, "representative", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "representative").alias("component_id"))
+
+    return restore(frames.settled(found, "found"))

@@ -1,10 +1,12 @@
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from emberlog.llm import components, ngram_join
+from emberlog.llm import components, frames, ngram_join
 from tests.llm import brute
 
 
@@ -137,6 +139,26 @@ def test_components_of_random_graphs(spark, seed):
     assert got == {x: find(x) for x in linked}
 
 
+def test_tables_and_shuffle_files_go_when_they_are_used(spark):
+    """What is on disk at a time doesn't add up over the steps of a join: neither its tables nor the shuffle files behind them."""
+    root = Path(frames.shared_dir(spark).removeprefix("file:")) / f"emberlog-{spark.sparkContext.applicationId}"
+    tables = lambda: {p.name for p in root.glob("*")}
+    local = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    shuffled = lambda: {str(x) for d in local for x in Path(d).rglob("shuffle_*")}
+    texts = texts_of(11)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    freed, held, before = spark.conf.get(frames._FREED, None), shuffled(), tables()
+    found = ngram_join.near_components(frame)
+    assert {name.rsplit("-", 1)[0] for name in tables() - before} == {"found"}
+    deadline = time.time() + 20
+    while shuffled() - held and time.time() < deadline:  # files go in the background
+        time.sleep(0.2)
+    assert not shuffled() - held
+    assert spark.conf.get(frames._FREED, None) == freed
+    want = brute.components(texts)
+    assert [{r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} for _ in range(2)] == [want, want]
+
+
 def test_odd_rows(spark):
     text = "one two three four five six"
     odd = spark.createDataFrame([(1, text, 1), (1, text, 1), (None, None, 2), (2, "x", 3)], "doc_id long, text string, cluster int")
