@@ -76,6 +76,9 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[DataFrame] = []
     for name, stage in STAGES[:-1]:
-        docs = frames.staged(stage(spark, docs, sf_dir), name)
+        docs = frames.settled(lambda: stage(spark, docs, sf_dir), name)  # noqa: B023
+        frames.dropped(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
