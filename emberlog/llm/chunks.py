@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from emberlog.llm import frames
+from emberlog.llm.merges import Merges
 from emberlog.llm.words import word_hashes
 
 #: Entries of a table.
@@ -100,13 +101,14 @@ def split(texts: pa.Array, cuts: Callable[[np.ndarray, np.ndarray], np.ndarray],
 
 
 class Table:
-    """Values of distinct chunks met so far; encode gives the values of a list of chunks as an Arrow array.
+    """Values of distinct chunks met so far; encode gives the values of a list of chunks (arrow: of an Arrow array) as an Arrow array.
 
     Chunks are found by a sorted array of their hashes, and compared whole.
     """
 
-    def __init__(self, encode: Callable[[list[str]], pa.Array]):
-        self.encode, self.known, self.values = encode, None, None
+    def __init__(self, encode: Callable[[list[str]], pa.Array] | Callable[[pa.Array], pa.Array], arrow: bool = False):
+        self.encode = encode if arrow else lambda chunks: encode(chunks.to_pylist())
+        self.known, self.values = None, None
         self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def codes(self, chunks: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -134,13 +136,13 @@ class Table:
             return self._anew(distinct, hashes, indices)
         new = distinct.filter(pa.array(missing))
         rows[missing] = len(self.known) + np.arange(n)
-        values = pa.concat_arrays([self.values, self.encode(new.to_pylist())])
+        values = pa.concat_arrays([self.values, self.encode(new)])
         if not full:
             self._learn(pa.concat_arrays([self.known, new]), values, np.concatenate([self.hashes, hashes[missing]]), np.concatenate([self.rows, rows[missing]]))
         return rows[indices], values
 
     def _anew(self, distinct: pa.Array, hashes: np.ndarray, indices: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-        values = self.encode(distinct.to_pylist())
+        values = self.encode(distinct)
         if len(distinct) <= TABLE_CHUNKS:
             self._learn(distinct, values, hashes, np.arange(len(distinct)))
         return indices, values
@@ -180,9 +182,23 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(tokenizer_path(vocabulary))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.table = Table(self._encode)
+        self.merges = Merges.of(tokenizer_path(vocabulary))
+        self.table = Table(self._encode, arrow=True)
+
+    def _encode(self, chunks: pa.Array | list[str]) -> pa.Array:
+        """Ids of each chunk. Runs of Latin letters and of marks are merged many at once (see merges), what is left goes to the library."""
+        chunks = pa.array(chunks, pa.string()) if isinstance(chunks, list) else chunks
+        if self.merges is None:
+            return self._library(chunks.to_pylist())
+        known, ids = self.merges(chunks)
+        if known.all():
+            return ids
+        order = np.empty(len(chunks), dtype=np.int64)
+        order[known] = np.arange(len(ids))
+        order[~known] = len(ids) + np.arange(len(chunks) - len(ids))
+        return pa.concat_arrays([ids, self._library(chunks.filter(pa.array(~known)).to_pylist())]).take(pa.array(order))
 
-    def _encode(self, chunks: list[str]) -> pa.Array:
+    def _library(self, chunks: list[str]) -> pa.Array:
         """Ids of each chunk. Chunks of letters alone are one pre-token each: many go through the library as one text, parted by spaces."""
         plain = [k for k, x in enumerate(chunks) if x.isalpha() or (len(x) == 1 and x in ".,;:!?")]
         lists, at = [], []
