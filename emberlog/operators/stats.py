@@ -15,7 +15,7 @@ from emberlog.operators.rows import Rows
 from emberlog.plans.nodes import Aggregate, Path, Stats
 
 OTHER = "(other)"
-MAX_GROUPS, MAX_SAMPLE, MAX_DISTINCT = 10_000, 100_000, 65_536
+MAX_GROUPS, MAX_SAMPLE = 10_000, 100_000
 SEPARATOR, IS_NULL, IS_MISSING = "\x1f", "\x00", "\x02"
 QUANTILES = {"p50": "0.5", "p95": "0.95", "p99": "0.99"}
 
@@ -151,7 +151,7 @@ def _number(value: Value) -> Column:
 
 
 def _function(f: Aggregate, n: int, value: Value, resolver: Resolver, arrival: Column | None, max_sample: int, sketch: bool, streaming: bool) -> tuple[list[Column], list[Column]]:
-    """Aggregates of a function, then its result and a note for renderers: i (whole), a (approximate), w (more than the cap), kind letters."""
+    """Aggregates of a function, then its result and a note for renderers: i (whole), a (approximate), kind letters."""
     if f.path is None:
         return [], [F.col("__n"), F.lit("i")]
     name, total, note = f"__a{n}", f"__t{n}", f"__k{n}"
@@ -196,7 +196,7 @@ def _function(f: Aggregate, n: int, value: Value, resolver: Resolver, arrival: C
         if isinstance(value, Typed) and value.null_as == "null":
             made.append(F.max(value.sound().isNull().cast("long")).alias(total))
             result = x + F.coalesce(y, F.lit(0))
-        return made, [result, F.when(result > MAX_DISTINCT, F.lit("w")).otherwise(F.lit("i"))]
+        return made, [result, F.lit("i")]
     return _extreme(f.function, value, n, resolver, arrival)
 
 

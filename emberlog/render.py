@@ -19,7 +19,7 @@ from emberlog.functions.values import quoted
 
 #: Rows that the columns of tables and CSV are taken from, and the longest cell of a table.
 SAMPLE, WIDEST = 1000, 40
-NONE, EMPTY_SET, MANY = "(none)", "∅", ">=65536"
+NONE, EMPTY_SET = "(none)", "∅"
 
 
 class _Missing:
@@ -155,7 +155,7 @@ def _number(text: str) -> int | float:
 
 def _result(function: str, value: object, note: str, other: bool) -> object:
     if function == "count_distinct":
-        return EMPTY_SET if other else MANY if note == "w" else value
+        return EMPTY_SET if other else value
     if value is None:
         return _number(note) if function == "sum" and note not in ("i", "f") else NONE
     if function in ("min", "max"):
