@@ -15,7 +15,9 @@ fragments, so each document's set is cut into segments. Links are found in five
    them.
 5. The others can only add links between themselves, and with those documents that the triangle inequality over the head doesn't rule
    out. Those pairs meet in blocks of about BLOCK documents, where partial overlaps are again counted fragment by fragment; a task gives a
-   spanning forest of what it connects.
+   spanning forest of what it connects. The blocks of a large cluster hold sets of one band of sizes and meet those of bands next to theirs,
+   as linked sets have alike sizes. What is sent still grows with the square of a band, so it is sent in rounds of at most the size of all
+   sets, each of which is off the disk before the next.
 
 A shingle's name has 128 bits, in two lanes of a keyed hash; overlaps are counted in both. No candidate is capped. Null and empty texts,
 and texts without words, have empty sets and link with nothing. Very long texts are handled whole. Rows with a null or repeated id are
@@ -25,6 +27,7 @@ documents of their own in the order of (id, text). An empty table gives an empty
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +45,8 @@ RATIO = 1.384
 SLACK = 1.5
 #: Documents of a block, and shingles of a block.
 BLOCK, BLOCK_SHINGLES = 400, 1 << 20
+#: Shingles that a round of step 5 may send in any case.
+ROUND_SHINGLES = 1 << 22
 #: Fragments whose partial overlaps steps 4 and 5 count apart.
 PARTS = 8
 
@@ -337,20 +342,36 @@ def links(docs: DataFrame, heads: DataFrame, gram: int = GRAM, percent: int = PE
     span, away = (100 - percent) * F.col("n"), (100 + percent) * F.col("distance")
     rest = near.filter(~F.col("linked")).groupBy("cluster").agg(F.count(F.lit(1)).alias("rest"), F.sum("n").alias("rest_n"), F.min(away - span).alias("nearest"))
     met = near.join(rest, "cluster").filter(~F.col("linked") | (away + span >= F.col("nearest")))
+    sizes = met.groupBy("cluster").agg(((F.count(F.lit(1)) > BLOCK) | (F.sum("n") > BLOCK_SHINGLES)).alias("large"))
+    met = met.select("doc_id", "cluster", "n", "linked", F.when(F.col("linked"), F.col("head")).otherwise(F.col("doc_id")).alias("label")).join(sizes, "cluster")
+    # linked sets are in one band or in bands next to each other; the last factor is far above a logarithm's error
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent * (1 + 1e-9))))
+    met = frames.staged(met.withColumn("band", F.when(F.col("large"), band).otherwise(F.lit(0))), "met")
     blocks = lambda count, size: F.greatest(F.ceil(count / BLOCK), F.ceil(size / BLOCK_SHINGLES))
-    sizes = met.groupBy("cluster").agg(
-        F.max(blocks(F.col("rest"), F.col("rest_n"))).alias("rest_blocks"),
-        blocks(F.count_if("linked"), F.coalesce(F.sum(F.when(F.col("linked"), F.col("n"))), F.lit(0))).alias("linked_blocks"),
-    )
-    met = met.select("doc_id", "cluster", "linked", F.when(F.col("linked"), F.col("head")).otherwise(F.col("doc_id")).alias("label")).join(sizes, "cluster")
-    own = F.when(F.col("linked"), F.col("rest_blocks") + F.pmod(F.xxhash64("doc_id"), F.col("linked_blocks"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("rest_blocks")))
-    met = frames.staged(met.withColumn("own", own), "met")
-    last = F.when(F.col("linked"), F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("linked_blocks")) - 1
-    carried = sets.select("doc_id", "n", "first", "second").join(met, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    carried = carried.select("cluster", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "doc_id", "label", "n", "first", "second")
+    of = lambda which: blocks(F.count_if(which), F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)))
+    # documents of a cluster that isn't large are one block, whether they link with the head or not
+    filled = frames.staged(met.groupBy("cluster", "band").agg(of(~F.col("linked") | ~F.col("large")).alias("rest_blocks"), of(F.col("linked") & F.col("large")).alias("linked_blocks")), "filled")
+    beside = F.explode(F.array(*[F.struct((F.col("band") + k).alias("band"), F.lit(-k).alias("step"), "rest_blocks", "linked_blocks") for k in (-1, 0, 1)])).alias("x")
+    beside = filled.select("cluster", beside).select("cluster", "x.*").groupBy("cluster", "band").agg(F.collect_list(F.struct("step", "rest_blocks", "linked_blocks")).alias("beside"))
+    count = F.aggregate("beside", F.lit(0).cast("long"), lambda n, x: n + x["rest_blocks"] + F.when(F.col("apart"), F.lit(0)).otherwise(x["linked_blocks"]))
+    own = F.aggregate("beside", F.lit(0).cast("long"), lambda n, x: n + F.when(x["step"] == 0, F.when(F.col("apart"), x["linked_blocks"]).otherwise(x["rest_blocks"])).otherwise(F.lit(0)))
+    met = met.join(beside, ["cluster", "band"]).withColumn("apart", F.col("linked") & F.col("large")).withColumn("copies", count).withColumn("own", F.pmod(F.xxhash64("doc_id"), own))
+    carried = frames.staged(sets.select("doc_id", "first", "second").join(met, "doc_id").drop("large", "linked"), "carried")
+    volume, room = carried.agg(F.sum(F.col("n") * F.col("copies"))).first()[0] or 0, sets.agg(F.sum("n")).first()[0] or 0
+    frames.dropped(sets, heads_sets)
+    name = lambda band, apart, number: F.struct(band.alias("band"), apart.alias("apart"), number.cast("long").alias("number"))
+    numbers = lambda n, band, apart: F.transform(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>")), lambda k: name(band, F.lit(apart), k))
+    others = F.flatten(F.transform("beside", lambda x: F.concat(numbers(x["rest_blocks"], F.col("band") + x["step"], False), F.when(F.col("apart"), F.array().cast("array<struct<band:long,apart:boolean,number:long>>")).otherwise(numbers(x["linked_blocks"], F.col("band") + x["step"], True)))))
+    dealt = carried.withColumn("other", F.explode(others)).withColumn("mine", name(F.col("band"), F.col("apart"), F.col("own")))
+    dealt = dealt.select("cluster", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "doc_id", "label", "n", "first", "second")
     columns = ["doc_id", "label", "n", "first", "second"]
-    found = carried.repartition(parts, "cluster", "one", "two").groupBy("cluster", "one", "two").applyInArrow(lambda table: _links(table.select(columns), percent), "a long, b long")
-    return near.filter("linked and doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).unionByName(found)
+    # pairs of blocks come in rounds, none of which sends more than all sets are, however large a cluster is
+    rounds, found = max(1, math.ceil(volume / max(room, ROUND_SHINGLES))), near.filter("linked and doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    for k in range(rounds):
+        some = dealt.filter(F.pmod(F.xxhash64(F.lit(7), "cluster", "one", "two"), F.lit(rounds)) == k) if rounds > 1 else dealt
+        edges = some.repartition(parts, "cluster", "one", "two").groupBy("cluster", "one", "two").applyInArrow(lambda table: _links(table.select(columns), percent), "a long, b long")
+        found = found.unionByName(frames.staged(edges, "round") if rounds > 1 else edges)
+    return found
 
 
 def near_components(df: DataFrame, gram: int = GRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -118,6 +118,32 @@ def test_a_cluster_around_a_text_and_chains_away_from_it(spark, monkeypatch):
     assert run(spark, texts) == want
 
 
+def test_blocks_of_a_large_cluster_meet_alike_sizes_in_rounds(spark, monkeypatch):
+    """One cluster of texts that share a passage and have many sizes: a set goes to few blocks, and the blocks come in several rounds."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "ROUND_SHINGLES", 1)
+    rng = random.Random(4)
+    base, texts = [f"w{k}" for k in range(400)], {}
+    for d in range(160):
+        w = base[: int(30 * 1.02 ** rng.randint(0, 130))]
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"new{rng.randint(0, 50)}"
+        texts[d] = " ".join(w)
+    tables, staged = {}, frames.staged
+
+    def watched(df, name):
+        out = staged(df, name)
+        tables.setdefault(name, []).append([r.asDict() for r in out.drop("first", "second").collect()] if name == "carried" else len(tables))
+        return out
+
+    monkeypatch.setattr(frames, "staged", watched)
+    assert run(spark, texts) == brute.components(texts)
+    (carried,) = tables["carried"]
+    large = [r for r in carried if r["band"] > 0]
+    assert len(large) > 50 and len(tables["round"]) > 1
+    assert sum(r["copies"] for r in large) < len(large) ** 2 / 5 / 2  # to all blocks it would be twice as much at least
+
+
 def test_components_of_chains(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 100)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
