@@ -48,7 +48,9 @@ class Result:
 
     @property
     def df(self) -> DataFrame:
-        return self.rows.df.select(*[F.col(c).alias(name) for c, name in zip(self.rows.inner, self.rows.columns)])
+        out = self.rows.df.select(*[F.col(c).alias(name) for c, name in zip(self.rows.inner, self.rows.columns)])
+        out._groups = self.rows.notes.get("kept")  # groups in Spark's storage stay there as long as the result
+        return out
 
 
 def bound(text: str, now: int | Column) -> int | Column:

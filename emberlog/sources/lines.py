@@ -196,7 +196,8 @@ def _text(spark: SparkSession, paths: list[str], ordinal: Column, places: DataFr
     """Lines of files; ordinal: the file's place among all, by its name in places."""
     lines = spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_path").alias("path"))
     if places is not None:
-        lines = lines.join(places, F.regexp_replace("path", "^([A-Za-z0-9+.-]+):/+", "$1:/") == F.col("__name"))
+        # sent to the lines: dealt out by their file's name, all lines of a file would go to one task
+        lines = lines.join(F.broadcast(places), F.regexp_replace("path", "^([A-Za-z0-9+.-]+):/+", "$1:/") == F.col("__name"))
     return lines.select(F.col("value").alias("__line"), F.struct(ordinal.alias("file"), "block", "id").alias("__seq"))
 
 

@@ -1,9 +1,15 @@
 """Registered queries over tables with more groups and values than the samples have."""
 
+import gc
+import gzip
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from emberlog import catalog
+from emberlog.engine import Engine
+from emberlog.sources import lines
 
 
 @pytest.fixture(scope="module")
@@ -27,3 +33,30 @@ def test_groups_are_whole(spark, many):
     hours = F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) + F.make_interval(hours=F.col("event_id"))
     spark.read.parquet(f"{many}/events.parquet").withColumn("ts", hours).limit(10_050).write.parquet(f"{many}/hours/events.parquet")
     assert catalog.QUERIES["window_1h"](spark, f"{many}/hours").count() == 10_050
+
+
+def test_groups_over_files_are_made_once(spark, tmp_path):
+    """The groups that the guard counted are the result's, however long ago the query was compiled."""
+    (tmp_path / "a.log").write_text('{"k":"x"}\n{"k":"y"}\n')
+    df = Engine(spark).files("| stats count() by k", [str(tmp_path)]).df
+    gc.collect()
+    assert "InMemoryRelation" in df._jdf.queryExecution().withCachedData().toString()
+    assert [tuple(r) for r in df.collect()] == [("x", 1), ("y", 1)]
+
+
+def test_lines_of_a_file_are_not_dealt_to_one_task(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.log").write_text('{"k":%d}\n' % k)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # else so few lines are sent to the names
+    try:
+        plan = lines.read(spark, [str(tmp_path)]).rows.df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_packed_files_are_of_a_bounded_size(spark, many, monkeypatch):
+    monkeypatch.setattr(catalog, "PACKED", 9_000)
+    (folder,) = catalog._written(spark, many, x=(F.col("event_id").cast("string"), F.lit(True), True))
+    sizes = [len(gzip.decompress(p.read_bytes()).split()) for p in Path(folder).glob("*.gz")]
+    assert sum(sizes) == 70_020 and max(sizes) <= 9_000
